@@ -6,6 +6,7 @@ share; only where a session has none (tests on one machine) is one made.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,10 +52,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"{top}/quarry-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished work now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write df below the shared folder and read it again: cuts the lineage."""
+    tidy(df.sparkSession)
     path = work_dir(df.sparkSession)
-    (df.coalesce(partition_hint) if partition_hint else df).write.parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
