@@ -32,7 +32,7 @@ from quarry.llm import base, kernels
 
 WINDOW = 20
 #: Words that a task gathers before it sends them.
-PACKET_WORDS = 2 << 20
+PACKET_WORDS = 1 << 20
 
 
 def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,11 +44,24 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[new], pos[new], np.diff(np.r_[new, len(doc)])
 
 
+def _pack(x: np.ndarray, kind: type, ordered: bool = False) -> bytes:
+    """Bytes of x by planes, ascending values as differences: the shuffle's compression drops the empty planes."""
+    x = x.astype(kind)
+    if ordered:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unpack(b: bytes, kind: type, ordered: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ordered else x
+
+
 def _blobs(bucket: np.ndarray, columns: list[np.ndarray], kinds: list[type]) -> Iterator[tuple[int, list[bytes]]]:
-    """One packed row a bucket; the input is sorted by bucket."""
+    """One packed row a bucket; the input is sorted by bucket and by the first column."""
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     for s, e in zip(cut, np.r_[cut[1:], len(bucket)]):
-        yield int(bucket[s]), [c[s:e].astype(k).tobytes() for c, k in zip(columns, kinds)]
+        yield int(bucket[s]), [_pack(c[s:e], k, not i) for i, (c, k) in enumerate(zip(columns, kinds))]
 
 
 def _packets(batches: Iterator[pa.RecordBatch], limit: int):
@@ -95,11 +108,13 @@ def _probe(buckets: int, size: int, limit: int):
             # a block met twice here is anchored; its hash still probes for the other tasks
             known = many & (block >= 0)
             alone = ~many & (block >= 0)
-            scale = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            # 40 bits of the hash times the buckets: the bucket, and 32 bits that ascend inside it
+            wide = (h >> np.uint64(24)) * np.uint64(buckets)
+            to, low = (wide >> np.uint64(40)).astype(np.int64), wide >> np.uint64(8) & np.uint64(0xFFFFFFFF)
             rows = {}
-            for b, (p,) in _blobs(scale(h[lead]), [h[lead] & np.uint64(0xFFFFFFFF)], [np.uint32]):
+            for b, (p,) in _blobs(to[lead], [low[lead]], [np.uint32]):
                 rows[b] = [p, b"", b"", b""]
-            for b, (g, d, k) in _blobs(scale(h[alone]), [h[alone] & np.uint64(0xFFFFFFFF), doc[alone], block[alone]], [np.uint32, np.int64, np.int32]):
+            for b, (g, d, k) in _blobs(to[alone], [low[alone], doc[alone], block[alone]], [np.uint32, np.int64, np.int32]):
                 rows[b][1:] = [g, d, k]
             if known.any():  # known anchors travel as rows without probes, dealt evenly
                 d, k = doc[known], block[known]
@@ -119,10 +134,10 @@ def _anchored(table: pa.Table) -> pa.Table:
     docs, blocks, probes, grid, gd, gk = [], [], [], [], [], []
     for p, g, d, k in zip(*(table.column(c).to_pylist() for c in ("probes", "grid", "doc", "block"))):
         if p:
-            probes.append(np.frombuffer(p, np.uint32))
-            grid.append(np.frombuffer(g, np.uint32))
-            gd.append(np.frombuffer(d, np.int64))
-            gk.append(np.frombuffer(k, np.int32))
+            probes.append(_unpack(p, np.uint32, True))
+            grid.append(_unpack(g, np.uint32, True))
+            gd.append(_unpack(d, np.int64))
+            gk.append(_unpack(k, np.int32))
         else:
             docs.append(np.frombuffer(d, np.int64))
             blocks.append(np.frombuffer(k, np.int32))
@@ -198,9 +213,9 @@ def _repeated(table: pa.Table) -> pa.Table:
     out, hs, ds, ps = [], [], [], []
     for h, d, p in zip(*(table.column(c).to_pylist() for c in ("hash", "doc", "pos"))):
         if h:
-            hs.append(np.frombuffer(h, np.uint64))
-            ds.append(np.frombuffer(d, np.int64))
-            ps.append(np.frombuffer(p, np.int32))
+            hs.append(_unpack(h, np.uint64, True))
+            ds.append(_unpack(d, np.int64))
+            ps.append(_unpack(p, np.int32))
         else:
             s, n = np.frombuffer(p, np.int32).reshape(2, -1)
             out.append((np.frombuffer(d, np.int64), s, n))
@@ -235,9 +250,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, packet_words: int | No
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("block")).alias("blocks"))  # at most the blocks of one text
     )
-    anchors = base.materialize(anchors)
-    bytes_ = anchors.agg(F.sum(F.lit(64) + 8 * F.size("blocks"))).first()[0]
-    held = texts.join(base.small(anchors, bytes_ or 0), "doc_id")
+    held = texts.join(base.materialize(anchors), "doc_id")  # the anchors grow with the input: no broadcast hint
     return (
         held.mapInArrow(_windows(buckets, window, size, packet_words), WINDOWS)
         .groupBy("bucket")
@@ -291,8 +304,8 @@ def _cut(window: int, names: list[str], types: list[pa.DataType], digest: bool):
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     spans = base.materialize(repeated_spans(docs, window))
-    bytes_ = spans.agg(F.sum(F.lit(64) + 16 * F.size("_spans"))).first()[0]
-    return docs.join(base.small(spans, bytes_ or 0), "doc_id", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:int,n:int>>")))
+    base.tidy(docs.sparkSession)
+    return docs.join(spans, "doc_id", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:int,n:int>>")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
