@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import base, jaccard, licences, substring, topk, urlfilter
+from quarry.llm import base, crf, fingerprint, jaccard, licences, mixing, piecefst, substring, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,41 @@ b AS (SELECT page_id, host, path, CASE WHEN h LIKE '%.example.net' AND path LIKE
   WHEN h LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/' WHEN h LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
   WHEN h LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM f)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM b"""
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(base.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
+
+
+#: Shares of the quality domains of the label table in the mix.
+QUALITY_WEIGHTS = {1: 0.95, 0: 0.05}
+
+
+def op8_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels")
+    mixed = mixing.mix(docs.select("doc_id", "text"), labels, "quality", QUALITY_WEIGHTS)
+    return mixed.selectExpr("doc_id", "_tokens AS n_tokens", "_p AS posteriors", "_rate AS rate")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecefst.digests(base.table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(base.table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op4_language_id, op5_toxicity, op8_domain_mixing, op9_sentencepiece, op10_fingerprints)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
