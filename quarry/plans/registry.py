@@ -51,3 +51,11 @@ def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("l_extendedprice").alias("max_price"),
         )
     )
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from quarry.plans import statistics  # noqa: F401
+
+
+load()
