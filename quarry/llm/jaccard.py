@@ -8,10 +8,14 @@ length and positional filters, each pair then once through the suffix filter
 (a bound on the Hamming distance from n-gram counts by hash range) and, if it
 is left, once through the exact comparison of both texts' sets.
 
-Groups of near copies do not expand into all pairs: a first round compares
-each node with the centre it shares most prefix n-grams with, and the exact
-round after it compares only nodes that are still in different components. A
-pair inside one component cannot change it.
+Groups of near copies do not expand into all pairs. A first round compares each
+node with the centre it shares most prefix n-grams with; after it only lists
+that hold several components matter, since a pair inside one component changes
+nothing. Short lists are compared pair by pair. In a long list every node is
+compared with the smallest node z: two nodes that reach the threshold are then
+either both linked with z (their common n-grams inside z suffice, and z is no
+larger than they are), or they share n-grams that z lacks, by which they are
+posted and filtered again.
 
 Definitions: A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text with
 fewer words than ``size`` has its whole sequence as its one n-gram; a text
@@ -35,6 +39,8 @@ from quarry.llm.components import connected_components
 SIZE = 5
 PERCENT = 80
 SKETCH_BITS = 18
+#: Lists of an n-gram up to this long are compared pair by pair, longer ones through their smallest node.
+SHORT_LIST = 16
 _CHUNKS = 64
 _RANGES = 64
 
@@ -166,6 +172,38 @@ def _filters(df: DataFrame, percent: int) -> DataFrame:
     return df.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent).where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
 
 
+def _ordered(df: DataFrame) -> DataFrame:
+    """(a, b, na, nb) with a < b."""
+    up = F.col("a") < F.col("b")
+    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+
+
+def _beyond(size: int, percent: int, sketch):
+    """For node a and its list's smallest node b: whether they are linked, and the rare-first prefix of a's n-grams that b lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.frombuffer(sketch.value, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                xs, ys = (sets(*base.utf8(part.column(part.schema.get_field_index(c))), size) for c in ("ta", "tb"))
+                cols: list[list] = [[] for _ in range(8)]
+                for node, z, x, y in zip(base.longs(part, "a").tolist(), base.longs(part, "b").tolist(), xs, ys):
+                    own = np.setdiff1d(x, y, True)
+                    same = len(x) - len(own)
+                    linked = 100 * same >= percent * (len(x) + len(y) - same)
+                    own = own[np.lexsort((own, count[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
+                    keep = len(own) - max(1, -(-percent * len(x) // 100) - same) + 1
+                    posted = [None, *own[: max(keep, 0)].view(np.int64).tolist()]  # the first row tells of the link only
+                    k = len(posted)
+                    for c, v in zip(cols, ([z] * k, [node] * k, [len(x)] * k, [same] * k, posted, range(-1, k - 1), [len(own)] * k, [linked] + [False] * (k - 1))):
+                        c.extend(v)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["z", "node", "n", "same", "x", "pos", "size", "linked"])
+
+    return run
+
+
 class JaccardJoin:
     """The join over docs(doc_id, text); :meth:`components` and :attr:`links` hold its results."""
 
@@ -190,46 +228,75 @@ class JaccardJoin:
         h = self.nodes.select("node", "data")
         near = pairs.join(h.select(F.col("node").alias("a"), F.col("data").alias("ha")), "a").join(h.select(F.col("node").alias("b"), F.col("data").alias("hb")), "b")
         near = base.materialize(near.mapInArrow(_suffix_filter(self.percent), "a long, b long, na int, nb int"))
-        want = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        want = base.materialize(want.join(self.nodes.where("doc_id IS NOT NULL"), "node").select("node", "doc_id"))
-        held = self.docs.join(base.small(want, 48 * want.count()), "doc_id").select("node", "text")
-        texts = base.materialize(held.mapInArrow(_own_text(self.size), "node long, text string"))
+        texts = self._texts(near)
         ta, tb = (texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
         out = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(self.size, self.percent), "a long, b long")
         out = base.materialize(out.distinct())
-        for x in (near, want, texts):
+        for x in (near, texts):
             base.release(x)
         return out
 
+    def _texts(self, pairs: DataFrame) -> DataFrame:
+        """(node, text) of the nodes of pairs(a, b)."""
+        want = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        want = base.materialize(want.join(self.nodes.where("doc_id IS NOT NULL"), "node").select("node", "doc_id"))
+        held = self.docs.join(base.small(want, 48 * want.count()), "doc_id").select("node", "text")
+        out = base.materialize(held.mapInArrow(_own_text(self.size), "node long, text string"))
+        base.release(want)
+        return out
+
     def _links(self) -> DataFrame:
         posts = self.docs.mapInArrow(_postings(self.size, self.percent, self.sketch), "token long, node long, n int, pos int")
         w = Window.partitionBy("token")
-        me = F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")
-        posts = posts.withColumn("lo", F.min(me).over(w)).withColumn("hi", F.max(me).over(w)).where("lo.node <> hi.node")
-        posts = base.materialize(posts)
+        h = F.xxhash64("node")
+        posts = posts.withColumn("lo", F.min(F.struct("n", h.alias("h"), "node", "pos")).over(w)).withColumn("hi", F.min(F.struct("pos", h.alias("h"), "node", "n")).over(w)).withColumn("last", F.max("node").over(w))
+        posts = base.materialize(posts.where("lo.node <> last OR node <> last").drop("last"))
 
-        # first round: the centre that a node shares most prefix n-grams with
+        # first round: of the smallest and the least edited node of its lists, the one that a node shares most prefix n-grams with
         def star(c: str) -> DataFrame:
             return posts.where(f"node <> {c}.node").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col(f"{c}.node").alias("b"), F.col(f"{c}.n").alias("nb"), F.col(f"{c}.pos").alias("pb"))
 
         near = _filters(star("lo").unionByName(star("hi")), self.percent).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         best = near.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("k", "b")).alias("c")).select("a", "na", "c.b", "c.nb")
-        tried = base.materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
+        tried = base.materialize(_ordered(best).distinct())
         links = self._verify(tried)
 
-        # exact round: nodes of different components that share a prefix n-gram
+        # lists of a prefix n-gram that still hold several components: no other pair can change the result
         labels = connected_components(links, "a", "b")
         rooted = base.materialize(posts.select("token", "node", "n", "pos").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
-        by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("k"))
-        main = by_root.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("k", "root")).alias("main")).where("r0 <> r1").select("token", "main")
+        base.release(posts)
+        by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("k"), F.min(F.struct("n", h.alias("h"), "node")).alias("z"))
+        main = by_root.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("k").alias("m"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("z").alias("z")).where("r0 <> r1").select("token", "m", "main", "z")
         mixed = base.materialize(rooted.join(main, "token"))
-        x = mixed.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-        y = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main")
-        pairs = _filters(x.join(y, "token").where("ra <> rb AND (rb = main OR a < b)"), self.percent)
-        small = F.col("a") < F.col("b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(small, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(small, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        more = self._verify(base.materialize(pairs.join(tried, ["a", "b"], "left_anti")))
-        for d in (posts, rooted, mixed, tried):
+        base.release(rooted)
+
+        # short lists: all pairs across components
+        few = mixed.where(F.col("m") <= SHORT_LIST)
+        x = few.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+        y = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main")
+        pairs = _ordered(_filters(x.join(y, "token").where("ra <> rb AND (rb = main OR a < b)"), self.percent)).distinct()
+
+        # long lists: each node against the list's smallest node z, exactly. Two nodes that reach the threshold are
+        # either both linked with z, or share an n-gram that z lacks: those are posted again, in z's name.
+        stars = base.materialize(mixed.where(F.col("m") > SHORT_LIST).where("node <> z.node").select(F.col("node").alias("a"), F.col("z.node").alias("b")).distinct())
+        texts = self._texts(stars)
+        ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        rest = stars.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_beyond(self.size, self.percent, self.sketch), "z long, node long, n int, same int, x long, pos int, size int, linked boolean")
+        rest = base.materialize(rest)
+        base.release(texts)
+        base.release(stars)
+        links = base.materialize(links.unionByName(rest.where("linked").select(F.col("node").alias("a"), F.col("z").alias("b")).distinct()))
+        labels = connected_components(links, "a", "b")
+        rest2 = rest.where("x IS NOT NULL").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        lists = rest2.groupBy("z", "x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("z", "x")
+        rest2 = base.materialize(rest2.join(lists, ["z", "x"]).select("z", "x", "node", "n", "same", "pos", "size", "root"))
+        u, v = (rest2.select("z", "x", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("same").alias(f"s{c}"), (F.col("size") - F.col("pos")).alias(f"p{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+        need = F.ceil((F.col("na") + F.col("nb")) * F.lit(self.percent) / F.lit(100 + self.percent) - F.lit(1e-9))
+        far = u.join(v, ["z", "x"]).where("ra <> rb AND a < b").where(F.col("na") * 100 >= F.col("nb") * self.percent).where(F.col("nb") * 100 >= F.col("na") * self.percent)
+        far = far.where(F.least("sa", "sb") + F.least("pa", "pb") >= need).select("a", "b", "na", "nb").distinct()
+
+        more = self._verify(base.materialize(pairs.unionByName(far).distinct().join(tried, ["a", "b"], "left_anti")))
+        for d in (rest, rest2, mixed, tried):
             base.release(d)
         return links.unionByName(more)
 
