@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,10 @@ class Transducer:
         self.id_of = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes_ = [self.pieces.index(f"<0x{b:02X}>") for b in range(256)] if self.fallback else []
+        order = {v: i for i, v in enumerate(sorted({self.scores[i] for i in self.id_of.values()}, reverse=True))}
+        self.rank = {p: order[self.scores[i]] for p, i in self.id_of.items()}  # pieces of one score share a rank
+        #: the two parts of each piece's last merge
+        self.split: dict[str, tuple[str, str]] = {}
         # BPE never makes a piece that its own merges do not lead to
         live = [p for p in self.id_of if self.model_type == UNIGRAM or len(self.merged(p)) == 1]
         self.trie: dict = {}
@@ -123,7 +128,10 @@ class Transducer:
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" + (f"|[{cut}]" if alone else "")) if starts_only else re.compile("(?s).+")
         self.out = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, k in zip(self.pieces, self.kinds)]
         self.out[self.unknown] = " ⁇ ".encode()
+        # neighbouring characters that some piece holds: BPE never merges across others
+        self.joins = {pair for p in live for pair in zip(p, p[1:])}
         self.memory: dict[str, bytes] = {}
+        self.fragments: dict[str, list[int]] = {}
         self.borders: dict[int, bool] = {}
 
     def merged(self, s: str) -> list[str]:
@@ -138,6 +146,8 @@ class Transducer:
             if best is None:
                 return parts
             i = best[1]
+            if len(parts) == 2:
+                self.split[s] = (parts[0], parts[1])
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def border(self, a: int, b: int) -> bool:
@@ -147,16 +157,100 @@ class Transducer:
         if ok is None:
             if len(self.borders) >= MEMORY:
                 self.borders.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            ok = self.borders[key] = self.merged(x + y) == [x, y]
+            ok = self.borders[key] = self.apart(self.pieces[a], self.pieces[b])
         return ok
 
+    def apart(self, x: str, y: str) -> bool:
+        """Undo the merges of x and y next to the border, latest first: did a merge across it come before?"""
+        rank, split, limit, whole = self.rank, self.split, len(self.pieces) + 1, [x, y]
+        while True:
+            across = rank.get(x + y, limit + 1)
+            rx, ry = rank[x] if len(x) > 1 else -1, rank[y] if len(y) > 1 else -1
+            if across == limit or rx == ry >= 0:  # the same merge twice (as in runs): position decides
+                return self.merged("".join(whole)) == whole
+            if across < limit:
+                return False
+            if rx > ry:
+                limit, x = rx, split[x][1]
+            elif ry >= 0:
+                limit, y = ry, split[y][0]
+            else:
+                return True
+
     def spell(self, c: str) -> tuple[int, ...]:
         """Ids of a character that is no piece."""
         return tuple(self.bytes_[b] for b in c.encode()) if self.fallback else (self.unknown,)
 
+    def arcs(self, s: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece) of the pieces that start at i, shortest first; piece -1 spells a character that is no piece."""
+        node, out, n, j = self.trie, [], len(s), i
+        while j < n:
+            node = node.get(s[j])
+            if node is None:
+                break
+            j += 1
+            k = node.get("")
+            if k is not None:
+                out.append((j, k))
+        if not out or out[0][0] != i + 1:
+            out.insert(0, (i + 1, -1))
+        return out
+
+    def weightless(self, s: str) -> list[int] | None:
+        """The path of weight 0 through a BPE lattice, depth first with long pieces first; None if there is none.
+
+        A prefix has one path of weight 0 at most (its own encoding), so no position is tried twice.
+        """
+        n, tried = len(s), bytearray(len(s) + 1)
+        stack, taken, last, open_ = [], [], -1, self.arcs(s, 0)
+        while True:
+            while open_:
+                j, k = open_.pop()
+                if tried[j] or (last >= 0 and k >= 0 and not self.border(last, k)):
+                    continue
+                taken.append((k, j))
+                if j == n:
+                    ids, at = [], 0
+                    for k, j in taken:
+                        if k >= 0:
+                            ids.append(k)
+                        else:
+                            ids.extend(self.spell(s[at:j]))
+                        at = j
+                    return ids
+                stack.append((last, open_))
+                tried[j], last, open_ = 1, k, self.arcs(s, j)
+                break
+            else:
+                if not stack:
+                    return None
+                last, open_ = stack.pop()
+                taken.pop()
+
     def path(self, s: str) -> list[int]:
-        """The best path through one stretch: ids of the least weight."""
+        """The best path through one stretch, by fragments that no piece joins."""
+        if self.model_type != BPE:
+            return self.least(s)
+        ids: list[int] = []
+        joins, at = self.joins, 0
+        for i in range(1, len(s) + 1):
+            if i == len(s) or (s[i - 1], s[i]) not in joins:
+                part = s[at:i]
+                got = self.fragments.get(part)
+                if got is None:
+                    got = self.weightless(part)
+                    if got is None:
+                        got = self.least(part)
+                    if len(part) <= 64:
+                        if len(self.fragments) >= MEMORY // 2:
+                            self.fragments.clear()
+                        self.fragments[part] = got
+                ids += got
+                at = i
+        return ids
+
+    def least(self, s: str) -> list[int]:
+        """The path of the least weight, position by position."""
         n = len(s)
         bpe = self.model_type == BPE
         low = 0.0 if bpe else min(self.scores) - 10.0
@@ -213,7 +307,7 @@ class Transducer:
             if ids is None:
                 if len(memory) >= MEMORY:
                     memory.clear()
-                ids = np.array(self.path(s), np.int32).tobytes()
+                ids = array("i", self.path(s)).tobytes()
                 if len(s) <= 64:
                     memory[s] = ids
             out.append(ids)
