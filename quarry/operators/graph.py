@@ -1,22 +1,23 @@
-"""Graph operators on edges(src, dst[, weight]); iterations write their state to the checkpoint folder now and then."""
+"""Graph operators on edges(src, dst[, weight]); iterations write their state to the checkpoint folder every round."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Iterations between two cuts of the lineage.
-CUT_EVERY = 5
-
-
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+    """Write df below the session's shared checkpoint folder and read it again; a folder of its own only where none is set."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        top = tempfile.mkdtemp(prefix="quarry-")
+        spark.sparkContext.setCheckpointDir(top)
+    path = f"{top}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -42,16 +43,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tol:
         return v.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count("*").alias("_d"))
     e = _cut(edges.select("src", "dst").join(out, "src"))
-    r = v.join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
-        loose = r.where("_d IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    r = _cut(v.join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n)))
+    for _ in range(iterations):
+        loose = F.broadcast(r.where("_d IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_l")))  # one row
         got = e.join(r.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("_d")).alias("_g"))
-        new = r.join(got, "id", "left").select("id", "_d", F.col("rank").alias("_old"), (F.lit((1 - damping) / n) + damping * (F.coalesce("_g", F.lit(0.0)) + F.lit(loose / n))).alias("rank"))
-        if tol or i % CUT_EVERY == CUT_EVERY - 1:
-            new = _cut(new)
-        done = bool(tol) and new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < tol
+        new = r.join(got, "id", "left").crossJoin(loose).select("id", "_d", F.col("rank").alias("_old"), (F.lit((1 - damping) / n) + damping * (F.coalesce("_g", F.lit(0.0)) + F.col("_l") / n)).alias("rank"))
+        new = _cut(new)  # the state is read three times in a round
         r = new.drop("_old")
-        if done:
+        if tol and new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < tol:
             break
     return r.select("id", "rank")
 
@@ -193,10 +192,9 @@ def label_propagation(edges: DataFrame, iterations: int = 5) -> DataFrame:
     """(id, label): each round the most frequent label among neighbours, the least on ties."""
     e = _cut(undirected(edges))
     lab = vertices(edges).withColumn("label", F.col("id"))
-    for i in range(iterations):
+    for _ in range(iterations):
         c = e.join(lab, e.src == lab.id).groupBy(F.col("dst").alias("v"), "label").agg(F.count("*").alias("n"))
         best = c.groupBy("v").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("v", F.col("b.label").alias("new"))
         lab = lab.join(best, lab.id == best.v, "left").select("id", F.coalesce("new", "label").alias("label"))
-        if i % CUT_EVERY == CUT_EVERY - 1:
-            lab = _cut(lab)
+        lab = _cut(lab)
     return lab
