@@ -80,8 +80,9 @@ def parse(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     right = np.empty(n, np.int8)
     right[-1] = 127
     right[:-1] = lab[1:]
+    ends = off[1:] - 1
+    right[ends[ends >= 0]] = 127  # a text knows nothing of the one after it
     cut = (lab >= left) & (lab > right)
-    # no phrase starts at a text's second or last symbol, so none is a lone symbol at the ends
     cut[head] = True
     starts = np.flatnonzero(cut)
     names = kernels.span_hashes(x, starts, np.r_[starts[1:], n])

@@ -54,3 +54,11 @@ def test_fingerprints_of_equal_texts(spark):
     got = {r.doc_id: r.fingerprint for r in fp.fingerprints(docs).collect()}
     assert got[1] == got[2] != "" and got[3] == got[4] == ""
     assert fp.likeness(fp.sketch_of(got[1]), fp.sketch_of(got[2])) == 1.0
+
+
+def test_a_text_knows_nothing_of_its_neighbours():
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcd  \né") for _ in range(r.randint(0, 200))) for _ in range(60)] + ["", "x", "xx", "xy"]
+    together = fp.prints(texts)
+    assert all(np.array_equal(a, fp.prints([t])[0]) for a, t in zip(together, texts))
+    assert all(np.array_equal(a, b) for a, b in zip(together, fp.prints(texts[::-1])[::-1]))
