@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import base, kernels
 
-MAX_DOCS = 3000
+MAX_DOCS = 1500
 GRID = 256
 #: Steps at most, and the largest miss as a share of all tokens at which the descent ends.
 STEPS, MISS = 400, 1e-4
@@ -122,9 +122,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, column: str, max_docs: in
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias("_domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # at most max_docs ids
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
-    raw = [(r.text or "").encode("utf-8", "replace") for r in rows]
-    x, _ = shape(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    return train(x, [r._domain for r in rows])
+    parts = [shape(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]]
+    for i in range(0, len(rows), 64):  # a few texts at a time bound the driver's memory
+        raw = [(r.text or "").encode("utf-8", "replace") for r in rows[i : i + 64]]
+        parts.append(shape(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
+    return train(np.concatenate(parts), [r._domain for r in rows])
 
 
 def membership(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm import base, kernels
 
 WINDOW, STRIDE = 32, 16
-MAX_TEXTS = 700
+MAX_TEXTS = 400
 VOCABULARY = 2048
 D_WORD, D_CHAR, HIDDEN = 6, 6, 8
 _GRAM, _SLOTS = 1 << 15, 1 << 16

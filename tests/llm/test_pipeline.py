@@ -12,15 +12,15 @@ def test_stages_end_to_end(spark, tmp_path):
     rows, labels = [], []
     for i in range(160):
         w = [word() for _ in range(r.randint(40, 120))]
-        bad = i % 8 == 0
+        bad = i % 4 == 0
         if bad:
-            w[5] = w[20] = "vilex"
+            w[5] = w[9] = w[20] = w[33] = "vilex"
         t = " ".join(w)
         if i in (33, 66, 99):
             t += " " + passage
         rows.append((i, t, "en", f"s{i % 3}", len(t)))
         labels.append((i, 1, int(bad)))
-    for k, i in enumerate((11, 12, 13)):
+    for k, i in enumerate((11, 13, 14)):
         t = rows[i][1] + (" extra" if k else "")
         rows.append((500 + k, t, "en", "s", len(t)))
     for i in range(600, 640):
@@ -34,8 +34,8 @@ def test_stages_end_to_end(spark, tmp_path):
     for name, stage in cp.STAGES:
         docs = base.materialize(stage(spark, docs, str(tmp_path)))
         kept[name] = {x.doc_id: x for x in docs.collect()}
-    clean = {i for i in range(160) if i % 8}
-    assert clean <= set(kept["toxicity"]) and len(set(kept["toxicity"]) & {i for i in range(0, 160, 8)}) <= 2
+    clean = {i for i in range(160) if i % 4}
+    assert clean <= set(kept["toxicity"]) and len(set(kept["toxicity"]) & {i for i in range(0, 160, 4)}) <= 2
     near = kept["near_duplicates"]
     assert clean <= set(near) and not {500, 501, 502} & set(near) and {700, 701} <= set(near)
     cut = kept["substring_dedup"]
