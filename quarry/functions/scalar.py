@@ -85,10 +85,10 @@ def norm_pdf(x) -> Column:
 
 def norm_ppf(p) -> Column:
     """Normal quantile by Newton steps from a logistic start; null outside (0, 1)."""
-    p = _col(p)
-    x = F.log(p / (1 - p)) / 1.702
-    for _ in range(6):
-        x = x - (norm_cdf(x) - p) / norm_pdf(x)
+    p = _col(p).cast("double")
+    steps = F.array(*(F.lit(i) for i in range(6)))
+    # the aggregate keeps one step's expression, however many steps there are
+    x = F.aggregate(steps, F.log(p / (1 - p)) / F.lit(1.702), lambda x, _: x - (norm_cdf(x) - p) / norm_pdf(x))
     return F.when((p > 0) & (p < 1), x)
 
 

@@ -15,7 +15,7 @@ def one(df):
 
 
 def col(spark, values, name="x"):
-    return spark.createDataFrame([(v,) for v in values], f"{name} double")
+    return spark.createDataFrame([(float(v),) for v in values], f"{name} double")
 
 
 def test_dispersion_fixtures(spark):
