@@ -34,6 +34,8 @@ MAX_DOCS = 1500
 GRID = 256
 #: Steps at most, and the largest miss as a share of all tokens at which the descent ends.
 STEPS, MISS = 400, 1e-4
+#: Steps without a better miss after which it ends too.
+PATIENCE = 12
 
 
 def shape(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,41 +153,65 @@ def membership(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, _tokens long, _p array<double>")
 
 
+def _rates(p: np.ndarray, misses: list[np.ndarray], step: float, most: float | None) -> np.ndarray:
+    """Rates of documents with posteriors p after the steps with these misses (accelerated projected gradient)."""
+    high = np.inf if most is None else most
+    x = v = np.clip(np.ones(len(p)), 0.0, high)
+    for t, miss in enumerate(misses):
+        y = np.clip(v - step * (p @ miss), 0.0, high)
+        v = np.clip(y + t / (t + 3) * (y - x), 0.0, high)
+        x = y
+    return v
+
+
 def fit_rates(groups: DataFrame, target: list[float], most: float | None = None) -> DataFrame:
     """groups(_p, _tokens) with ``rate`` added, so that sum(rate * _tokens * _p) comes to ``target`` (tokens by domain).
 
-    Projected gradient descent with momentum, rates in [0, most]; ends at the miss or steps of the module.
+    Projected gradient descent with momentum, rates in [0, most]. A rate follows from the posteriors and the
+    misses of the steps so far, so a step is one aggregation that replays them, and its state is a number per
+    domain. It ends at the miss of the module, or when ``PATIENCE`` steps bring no better one (targets out of reach).
     """
     k = len(target)
-    spark = groups.sparkSession
-    state = base.materialize(groups.select("_p", "_tokens", F.lit(1.0).alias("x"), F.lit(1.0).alias("v")))
-    one = state.agg(F.sum("_tokens").alias("n"), *(F.sum(F.col("_tokens") * F.col("_p")[i] * F.col("_p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
+    base.ship(groups.sparkSession)
+    groups = groups.select("_p", "_tokens")
+    one = groups.agg(F.sum("_tokens").alias("n"), *(F.sum(F.col("_tokens") * F.col("_p")[i] * F.col("_p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
     total = float(one.n or 0)
-    if not total:
-        return state.select("_p", "_tokens", F.col("x").alias("rate"))
-    m = np.array([[one[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) / total
+    m = np.array([[one[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) / max(total, 1.0)
     step = 1.0 / max(float(np.linalg.eigvalsh(m).max()), 1e-12)
-    old, best = None, float("inf")
-    for t in range(STEPS):
-        sums = state.agg(*(F.sum(F.col("v") * F.col("_tokens") * F.col("_p")[i]).alias(f"s{i}") for i in range(k))).first()
-        miss = (np.array([sums[i] or 0.0 for i in range(k)]) - np.array(target)) / total
+    goal = np.array(target, float)
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        p = np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, k)
+        return p, np.asarray(batch.column(1), dtype=np.float64)
+
+    def sums(misses: list[np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p, n = arrays(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (_rates(p, misses, step, most) * n) @ p], names=[f"s{i}" for i in range(k)])
+
+        row = groups.mapInArrow(run, ", ".join(f"s{i} double" for i in range(k))).agg(*(F.sum(f"s{i}") for i in range(k))).first()
+        return np.array([v or 0.0 for v in row])
+
+    misses: list[np.ndarray] = []
+    best, kept, stale = float("inf"), 0, 0
+    while total and len(misses) < STEPS:
+        miss = (sums(misses) - goal) / total
         worst = float(np.abs(miss).max())
-        if worst < MISS or (most is not None and old is not None and abs(best - worst) < MISS / 100 and t % 20 == 0):
+        if worst < best - MISS / 10:
+            best, kept, stale = worst, len(misses), 0
+        else:
+            stale += 1
+        if worst < MISS or stale >= PATIENCE:
             break
-        best = min(best, worst)
-        move = sum((F.col("_p")[i] * F.lit(float(step * miss[i])) for i in range(k)), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), F.col("v") - move)
-        new = F.least(F.lit(float(most)), new) if most is not None else new
-        momentum = t / (t + 3)
-        nxt = F.greatest(F.lit(0.0), F.col("y") + F.lit(momentum) * (F.col("y") - F.col("x")))
-        nxt = F.least(F.lit(float(most)), nxt) if most is not None else nxt
-        state = state.withColumn("y", new).withColumn("v", nxt).select("_p", "_tokens", F.col("y").alias("x"), "v")
-        if t % 8 == 7:
-            fresh = base.materialize(state)
-            if old is not None:
-                base.release(old)
-            state = old = fresh
-    return state.select("_p", "_tokens", F.col("v").alias("rate"))
+        misses.append(miss)
+    misses = misses[:kept]
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(arrays(batch)[0], misses, step, most))], names=["_p", "_tokens", "rate"])
+
+    return groups.mapInArrow(final, "_p array<double>, _tokens long, rate double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, column: str, weights: dict, tokens: float | None = None, most: float | None = None) -> DataFrame:
