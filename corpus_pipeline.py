@@ -23,7 +23,7 @@ from quarry.llm.crf import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Target shares of the quality domains.
-WEIGHTS = {1: 0.95, 0: 0.05}
+WEIGHTS = {1: 0.99, 0: 0.01}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,12 +197,12 @@ def fit_rates(groups: DataFrame, target: list[float], most: float | None = None)
     best, kept, stale = float("inf"), 0, 0
     while total and len(misses) < STEPS:
         miss = (sums(misses) - goal) / total
-        worst = float(np.abs(miss).max())
-        if worst < best - MISS / 10:
-            best, kept, stale = worst, len(misses), 0
+        size = float(np.sqrt((miss * miss).sum()))  # what the descent lowers; one domain may stay out of reach
+        if size < best - MISS / 10:
+            best, kept, stale = size, len(misses), 0
         else:
             stale += 1
-        if worst < MISS or stale >= PATIENCE:
+        if np.abs(miss).max() < MISS or stale >= PATIENCE:
             break
         misses.append(miss)
     misses = misses[:kept]

@@ -122,7 +122,7 @@ def brute_rates(groups, target, most):
 def test_rates_match_brute_force(spark):
     groups = [([0.0, 1.0], 700), ([0.25, 0.75], 100), ([0.75, 0.25], 50), ([1.0, 0.0], 150)]
     df = spark.createDataFrame(groups, "_p array<double>, _tokens long")
-    for target, most in (([100.0, 900.0], None), ([50.0, 780.0], 1.0)):
+    for target, most in (([100.0, 900.0], None), ([50.0, 780.0], 1.0), ([20.0, 980.0], 1.0)):  # the last is out of reach
         got = {tuple(r._p): r.rate for r in mixing.fit_rates(df, target, most).collect()}
         want = brute_rates(groups, np.array(target), most)
         assert np.allclose([got[tuple(p)] for p, _ in groups], want, atol=0.02)
