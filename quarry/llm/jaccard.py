@@ -249,8 +249,8 @@ class JaccardJoin:
         posts = self.docs.mapInArrow(_postings(self.size, self.percent, self.sketch), "token long, node long, n int, pos int")
         w = Window.partitionBy("token")
         h = F.xxhash64("node")
-        posts = posts.withColumn("lo", F.min(F.struct("n", h.alias("h"), "node", "pos")).over(w)).withColumn("hi", F.min(F.struct("pos", h.alias("h"), "node", "n")).over(w)).withColumn("last", F.max("node").over(w))
-        posts = base.materialize(posts.where("lo.node <> last OR node <> last").drop("last"))
+        posts = posts.withColumn("lo", F.min(F.struct("n", h.alias("h"), "node", "pos")).over(w)).withColumn("hi", F.min(F.struct("pos", h.alias("h"), "node", "n")).over(w)).withColumn("least", F.min("node").over(w)).withColumn("last", F.max("node").over(w))
+        posts = base.materialize(posts.where("least <> last").drop("least", "last"))  # lists of one node link nothing
 
         # first round: of the smallest and the least edited node of its lists, the one that a node shares most prefix n-grams with
         def star(c: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_matches_brute_force(spark):
         assert got == brute(rows, k, percent)
 
 
+def test_chains_of_shortened_copies(spark):
+    rows = []
+    for seed in range(80):
+        r = random.Random(seed)
+        w = [f"s{seed}w{i}" for i in range(r.randint(60, 140))]
+        cuts = [(0, len(w)), (0, len(w) - r.randint(3, 9)), (r.randint(8, 20), len(w) - r.randint(3, 9))]
+        cuts += [(r.randint(0, 24), len(w) - r.randint(0, 24)) for _ in range(r.randint(0, 4))]
+        rows += [" ".join(w[a:b]) for a, b in cuts]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()}
+    want = brute(rows, 5, 80)
+    assert {d for d in want if got[d] != want[d]} == set()
+
+
 def test_empty_null_ids_and_extra_columns(spark):
     docs = spark.createDataFrame([(None, "a b c", 1), (4, "a b c", 2), (9, "A b c", 3), (9, "q", 3)], "doc_id long, text string, node int")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.components(docs).collect()), key=str)
