@@ -153,6 +153,21 @@ def _own_text(size: int):
     return run
 
 
+def _by_node(size: int):
+    """(node, text) of rows whose text has words, each set once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part, data, off in base.pieces(batch, "text"):
+                nodes = [node_of(u) if len(u) else None for u in sets(data, off, size)]
+                new = [x is not None and x not in seen and not seen.add(x) for x in nodes]
+                out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), part.column(part.schema.get_field_index("text"))], names=["node", "text"])
+                yield out.filter(pa.array(new, pa.bool_()))
+
+    return run
+
+
 def _compare(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,6 +236,7 @@ class JaccardJoin:
             sketch[r.node] = np.frombuffer(r.data, np.int64)
         self.sketch = self.spark.sparkContext.broadcast(sketch.tobytes())
         self.nodes = base.materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("data")))
+        self.unnamed = not self.nodes.where("doc_id IS NULL").isEmpty()
         self.links = self._links()
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
@@ -239,9 +255,14 @@ class JaccardJoin:
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """(node, text) of the nodes of pairs(a, b)."""
         want = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        want = base.materialize(want.join(self.nodes.where("doc_id IS NOT NULL"), "node").select("node", "doc_id"))
-        held = self.docs.join(base.small(want, 48 * want.count()), "doc_id").select("node", "text")
-        out = base.materialize(held.mapInArrow(_own_text(self.size), "node long, text string"))
+        want = base.materialize(want.join(self.nodes, "node").select("node", "doc_id"))
+        n = want.count()
+        held = self.docs.join(base.small(want.where("doc_id IS NOT NULL"), 48 * n), "doc_id").select("node", "text").mapInArrow(_own_text(self.size), "node long, text string")
+        if self.unnamed:  # sets that only rows with a null id have are found by their node
+            null = self.docs.where("doc_id IS NULL").select("text").mapInArrow(_by_node(self.size), "node long, text string")
+            null = null.join(base.small(want.where("doc_id IS NULL").select("node"), 48 * n), "node")
+            held = held.unionByName(null.groupBy("node").agg(F.first("text").alias("text")))
+        out = base.materialize(held)
         base.release(want)
         return out
 

@@ -76,6 +76,17 @@ def test_empty_null_ids_and_extra_columns(spark):
     assert jaccard.components(docs.limit(1)).count() == 1
 
 
+def test_sets_of_null_ids_link_documents(spark):
+    w = [f"w{i}" for i in range(104)]
+    copies = [(i, " ".join(w + [f"x{i}a", f"x{i}b"])) for i in range(20)]  # 100 n-grams and two of their own
+    v = [f"v{i}" for i in range(104)]
+    bridge = [(100, " ".join(v[:92])), (None, " ".join(v)), (101, " ".join(v[14:]))]
+    rows = [*copies, (None, " ".join(w)), (None, " ".join(w)), *bridge]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.components(docs).collect()), key=str)
+    assert got == sorted([(i, 0) for i in range(20)] + [(None, None)] * 3 + [(100, 100), (101, 100)], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(500, 600)] + [(None, 3), (8, 8)]
