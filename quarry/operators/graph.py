@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,32 +70,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bfs(edges: DataFrame, source, directed: bool = True, limit: int = 1000) -> DataFrame:
-    """(id, dist) of everything reachable from source."""
+def bfs(edges: DataFrame, source, directed: bool = True, limit: int | None = None) -> DataFrame:
+    """(id, dist) of everything reachable from source; ValueError if ``limit`` rounds do not reach it all."""
     e = edges.select("src", "dst").distinct() if directed else undirected(edges)
     seen = _cut(vertices(edges).where(F.col("id") == source).withColumn("dist", F.lit(0)))
-    for d in range(1, limit):
+    for d in count(1):
         front = seen.where(F.col("dist") == d - 1)
         new = front.join(e, front.id == e.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("dist", F.lit(d))
         new = _cut(new)
         if new.isEmpty():
-            break
+            return seen
+        if limit is not None and d > limit:
+            raise ValueError(f"the graph goes on after {limit} rounds")
         seen = _cut(seen.union(new))
-    return seen
 
 
-def shortest_paths(edges: DataFrame, source, limit: int = 1000) -> DataFrame:
-    """(id, dist): least sums of non-negative weights from source (Bellman-Ford on what changed)."""
+def shortest_paths(edges: DataFrame, source, limit: int | None = None) -> DataFrame:
+    """(id, dist): least sums of non-negative weights from source (Bellman-Ford on what changed).
+
+    ValueError if distances still fall after ``limit`` rounds.
+    """
     best = _cut(vertices(edges).where(F.col("id") == source).withColumn("dist", F.lit(0.0)))
     front = best
-    for _ in range(limit):
+    for k in count(1):
         got = front.join(edges, front.id == edges.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("n"))
         better = _cut(got.join(best, "id", "left").where("dist IS NULL OR n < dist").select("id", F.col("n").alias("dist")))
         if better.isEmpty():
-            break
+            return best
+        if limit is not None and k > limit:
+            raise ValueError(f"distances still fall after {limit} rounds")
         best = _cut(best.join(better.select("id"), "id", "left_anti").union(better))
         front = better
-    return best
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:

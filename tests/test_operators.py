@@ -147,3 +147,25 @@ def test_grid_join_matches_all_pairs(spark):
     p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
     got = {(r.l_id, r.r_id) for r in relational.grid_join(p, p, "x", "y", 0.7).collect()}
     assert got == {(i, j) for i in range(60) for j in range(60) if np.hypot(*(pts[i] - pts[j])) <= 0.7}
+
+
+def test_graph_rounds_go_to_the_end(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, weight double")
+    far = {i: i for i in range(7)}
+    assert dict(graph.bfs(e, 0).collect()) == dict(graph.bfs(e, 0, limit=6).collect()) == far
+    assert dict(graph.shortest_paths(e, 0).collect()) == dict(graph.shortest_paths(e, 0, limit=6).collect()) == far
+    for f in (graph.bfs, graph.shortest_paths):
+        with pytest.raises(ValueError):
+            f(e, 0, limit=5)
+
+
+def test_whole_graph_has_every_supplier_and_part(spark, tmp_path):
+    from quarry.plans import registry
+
+    rows = [(o, o % 7, o % 130) for o in range(1, 400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    ids = {2 * s for _, s, _ in rows} | {2 * p + 1 for _, _, p in rows}
+    labels = registry.QUERIES["graph_label_propagation"](spark, str(tmp_path)).collect()
+    assert {r.id for r in labels} == ids
+    assert {r.id for r in registry.QUERIES["graph_core_numbers"](spark, str(tmp_path)).collect()} == ids
+    assert registry.QUERIES["graph_spanning_forest"](spark, str(tmp_path)).count() == len(ids) - 1  # one component
