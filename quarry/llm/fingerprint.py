@@ -8,9 +8,8 @@ the phrases, whose names are hashes of their symbols and are the next level's
 symbols. A phrase depends on a few neighbours only, so equal substrings have
 the same phrases inside wherever they stand.
 
-The fingerprint is a bottom-k sketch of the phrase names of two levels: the
-second (about ten code points) and the third, or for texts under ``SHORT`` code
-points the first and the second. Likeness of two fingerprints is the share of
+The fingerprint is a bottom-k sketch of the phrase names of two levels, the
+same at every length: the second (about ten code points) and the third. Likeness of two fingerprints is the share of
 common values among the k least of both (an estimate of the Jaccard
 coefficient of the phrase sets). An empty or null text has the empty
 fingerprint, which is like itself only.
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from quarry.llm import base, kernels
 
 K = 64
-SHORT = 96
 TOSSES = 3
 #: Parts of the id range for each shuffle partition.
 PARTS = 4
@@ -99,14 +97,12 @@ def prints(texts: list[str], k: int = K) -> list[np.ndarray]:
     """Sorted uint32 sketch of each text."""
     x, off = symbols(texts)
     levels = []
-    n_chars = np.diff(off)
     for _ in range(3):
         x, off = parse(x, off)
         levels.append(((kernels.mix(x ^ np.uint64(len(levels))) >> np.uint64(32)).astype(np.uint32), off))
     out = []
     for d in range(len(texts)):
-        use = levels[:2] if n_chars[d] < SHORT else levels[1:]
-        out.append(np.unique(np.concatenate([v[o[d] : o[d + 1]] for v, o in use]))[:k])
+        out.append(np.unique(np.concatenate([v[o[d] : o[d + 1]] for v, o in levels[1:]]))[:k])
     return out
 
 

@@ -62,3 +62,13 @@ def test_a_text_knows_nothing_of_its_neighbours():
     together = fp.prints(texts)
     assert all(np.array_equal(a, fp.prints([t])[0]) for a, t in zip(together, texts))
     assert all(np.array_equal(a, b) for a, b in zip(together, fp.prints(texts[::-1])[::-1]))
+
+
+def test_near_copies_are_alike_at_every_length():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9)))
+    mean = {}
+    for n, m in ((94, 88), (100, 94), (112, 106), (100, 67)):
+        pairs = [(t, t[:m]) for t in (" ".join(word() for _ in range(n))[:n] for _ in range(100))]
+        mean[n, m] = np.mean([fp.likeness(*fp.prints([a, b])) for a, b in pairs])
+    assert min(mean[94, 88], mean[100, 94], mean[112, 106]) > 0.7 and mean[100, 67] > 0.45
