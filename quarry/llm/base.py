@@ -1,7 +1,8 @@
 """What the operators of this sub-package share: tables, work folders, size checks.
 
 Work folders are below ``spark.checkpoint.dir``, which driver and executors
-share; only where a session has none (tests on one machine) is one made.
+share. A session without one may use a local folder only if it runs in one
+process (``local[...]``, as in tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -21,16 +22,26 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its checked size is at most this many bytes.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of text that a kernel works on at a time (one longer text goes alone).
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that a kernel works on at a time. One longer text goes alone: a worker needs about 100 bytes for each of its bytes.
+CHUNK_BYTES = 256 << 10
+#: Bytes of a batch on its way to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _default_batch(spark: SparkSession) -> str | None:
+    """The batch size of a session that nobody has set."""
+    return None if spark.sparkContext.getConf().get(_BATCH_KEY) else "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once a session."""
+    """Make this package importable on the executors, once a session, and bound the batches that go to them."""
+    if spark.conf.get(_BATCH_KEY, None) == _default_batch(spark):
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_quarry_shipped", False):
@@ -47,6 +58,8 @@ def work_dir(spark: SparkSession) -> str:
     """A fresh path below the shared checkpoint folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/quarry-{uuid.uuid4().hex}"
@@ -109,6 +122,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def longs(batch: pa.RecordBatch, column: str) -> np.ndarray:

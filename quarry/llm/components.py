@@ -30,4 +30,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = step
         if not step.where("old <> component").limit(1).count():
             base.release(sym)
-            return step.select("node", "component")
+            out = step.select("node", "component")
+            out._quarry_path = step._quarry_path  # for base.release
+            return out

@@ -6,31 +6,38 @@ texts that reach the threshold must share an n-gram in their prefixes. Texts
 with equal sets are one node. Postings that meet at an n-gram go through the
 length and positional filters, each pair then once through the suffix filter
 (a bound on the Hamming distance from n-gram counts by hash range) and, if it
-is left, once through the exact comparison of both texts' sets.
+is left, once through the exact comparison of both sets.
 
 Groups of near copies do not expand into all pairs. A first round compares each
-node with the centre it shares most prefix n-grams with; after it only lists
-that hold several components matter, since a pair inside one component changes
-nothing. Short lists are compared pair by pair. In a long list every node is
-compared with the smallest node z: two nodes that reach the threshold are then
-either both linked with z (their common n-grams inside z suffice, and z is no
-larger than they are), or they share n-grams that z lacks, by which they are
-posted and filtered again.
+node with one centre: of the smallest and the least edited node of each of its
+lists the one that it shares most prefix n-grams with. After it only lists that
+hold several components matter, since a pair inside one component changes
+nothing; there the nodes outside the list's largest component meet the nodes of
+other components, by n-gram and size class, whatever the list's length. Pairs
+of the first round are not compared again. What remains quadratic is the number
+of sets that share a rare n-gram, pass all filters and yet are not linked.
+
+Pairs travel as ids; the n-gram sets are computed once for each node that a
+pair needs. Postings of an n-gram that the sketch shows to be far above the
+mean are dealt over ``SLICES`` tasks.
 
 Definitions: A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text with
 fewer words than ``size`` has its whole sequence as its one n-gram; a text
 without words (or null) has none and is linked with nothing. N-grams are held
 as 64-bit hashes. A row with null ``doc_id`` links like any other, but gets a
-null component. Rows that share a ``doc_id`` are separate texts of one id.
+null component. Rows that share a ``doc_id`` are separate texts of one id. Ties
+between centres fall by hash and change no result. A very long text is one
+piece of work, and its set (8 bytes a distinct n-gram) one value of a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import base, kernels
@@ -38,17 +45,22 @@ from quarry.llm.components import connected_components
 
 SIZE = 5
 PERCENT = 80
-SKETCH_BITS = 18
-#: Lists of an n-gram up to this long are compared pair by pair, longer ones through their smallest node.
-SHORT_LIST = 16
+SKETCH_BITS = 20
+#: An n-gram whose sketch cell is above HOT times the mean cell and HOT_LEAST has its postings dealt over SLICES tasks.
+HOT, HOT_LEAST, SLICES = 8, 1 << 16, 64
+#: Sketches that one task adds up.
+FAN = 32
+#: Distinct sets that a task remembers, to post equal texts once.
+SEEN = 1 << 18
 _CHUNKS = 64
 _RANGES = 64
 
 
 def sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    s, e, first = kernels.words(kernels.LOWER[data], off)
-    w = kernels.word_hashes(kernels.LOWER[data], s, e)
+    low = kernels.LOWER[data]
+    s, e, first = kernels.words(low, off)
+    w = kernels.word_hashes(low, s, e)
     g, at = kernels.gram_hashes(w, first, size)
     lo = np.searchsorted(at, first)
     n = np.diff(first)
@@ -63,6 +75,10 @@ def node_of(u: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+def _cells(u: np.ndarray) -> np.ndarray:
+    return (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 PROFILE = "doc_id long, n int, node long, data binary"
 
 
@@ -70,12 +86,12 @@ def _profile(size: int):
     """A row for each text (its counts by hash range), and the task's part of the sketch as rows with n = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part, data, off in base.pieces(batch, "text"):
                 found = sets(data, off, size)
-                every = np.concatenate(found)
-                sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                cell, k = np.unique(_cells(np.concatenate(found)), return_counts=True)
+                sketch[cell] += k.astype(np.uint32)
                 ranges = [np.minimum(np.bincount((u & np.uint64(_RANGES - 1)).astype(np.int64), minlength=_RANGES), 65535).astype(np.uint16).tobytes() for u in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(u) for u in found], pa.int32()), pa.array([node_of(u) for u in found], pa.int64()), base.binary(ranges)],
@@ -83,42 +99,72 @@ def _profile(size: int):
                 )
         if sketch.any():
             rows = sketch.reshape(_CHUNKS, -1)
+            small = np.uint8 if sketch.max() < 1 << 8 else np.uint16 if sketch.max() < 1 << 16 else np.uint32
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_CHUNKS, pa.int64()), pa.array([-1] * _CHUNKS, pa.int32()), pa.array(range(_CHUNKS), pa.int64()), base.binary([r.tobytes() for r in rows])],
+                [pa.nulls(_CHUNKS, pa.int64()), pa.array([-1] * _CHUNKS, pa.int32()), pa.array(range(_CHUNKS), pa.int64()), base.binary([r.astype(small).tobytes() for r in rows])],
                 names=["doc_id", "n", "node", "data"],
             )
 
     return run
 
 
+def _counts(data: bytes) -> np.ndarray:
+    """One chunk of a sketch, whatever the width of its numbers."""
+    width = len(data) * _CHUNKS >> SKETCH_BITS
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]).astype(np.int64)
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64) for b in table.column("data").to_pylist())
+    total = np.zeros((1 << SKETCH_BITS) // _CHUNKS, np.int64)
+    for b in table.column("data").to_pylist():
+        total += _counts(b)
     return pa.table({"node": table.column("node").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def _postings(size: int, percent: int, sketch):
+def _sketch(parts: DataFrame) -> np.ndarray:
+    """The sum of the tasks' sketches parts(node, data), at most FAN rows a task at a time."""
+    tasks = -(-parts.count() // _CHUNKS)
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        parts = parts.groupBy("node", F.pmod(F.xxhash64(F.rand(5)), F.lit(tasks)).alias("k")).applyInArrow(lambda _, t: _add(t), "node long, data binary")
+    out = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int64)
+    for r in parts.groupBy("node").applyInArrow(_add, "node long, data binary").toLocalIterator():  # of fixed size
+        out[r.node] = np.frombuffer(r.data, np.int64)
+    return out.ravel()
+
+
+POSTS = "token long, node long, n int, pos int, slice int"
+
+
+def _postings(size: int, percent: int, sketch, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.frombuffer(sketch.value, np.int64)
+        count = np.frombuffer(sketch.value, np.uint32)
         seen: set[int] = set()  # a set that this task has posted needs no second posting
         for batch in batches:
             for _, data, off in base.pieces(batch, "text"):
-                tokens, nodes, ns = [], [], []
+                tokens, nodes, ns, cells = [], [], [], []
                 for u in sets(data, off, size):
                     n = len(u)
                     if not n or (node := node_of(u)) in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(node)
-                    order = np.lexsort((u, count[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                    tokens.append(u[order[: n - -(-percent * n // 100) + 1]])
+                    c = count[_cells(u)]
+                    order = np.lexsort((u, c))[: n - -(-percent * n // 100) + 1]
+                    tokens.append(u[order])
+                    cells.append(c[order])
                     nodes.append(node)
                     ns.append(n)
                 if not tokens:
                     continue
                 k = np.array([len(t) for t in tokens])
                 pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                node = np.repeat(np.array(nodes, np.int64), k)
+                dealt = np.where(np.concatenate(cells) > hot, 1 + (node & (SLICES - 1)), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), k)), pa.array(np.repeat(np.array(ns, np.int32), k)), pa.array(pos.astype(np.int32))],
-                    names=["token", "node", "n", "pos"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node), pa.array(np.repeat(np.array(ns, np.int32), k)), pa.array(pos.astype(np.int32)), pa.array(dealt.astype(np.int32))],
+                    names=["token", "node", "n", "pos", "slice"],
                 )
 
     return run
@@ -135,48 +181,39 @@ def _suffix_filter(percent: int):
             na, nb = (base.longs(batch, c) for c in ("na", "nb"))
             need = -(-percent * (na + nb) // (100 + percent))
             ok = np.abs(a - b).sum(1) <= na + nb - 2 * need
-            yield batch.filter(pa.array(ok)).select(["a", "b", "na", "nb"])
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     return run
 
 
-def _own_text(size: int):
-    """Rows whose text has the wanted node's set (an id may have several texts)."""
+def _set_of(size: int, wanted: bool):
+    """(node, grams) of each text with words; with ``wanted`` only of rows whose text has the set of their ``node`` (an id may have several texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in base.pieces(batch, "text"):
-                want = base.longs(part, "node")
-                ok = np.array([len(u) > 0 and node_of(u) == w for u, w in zip(sets(data, off, size), want)], bool)
-                yield part.filter(pa.array(ok)).select(["node", "text"])
+                found = [(node_of(u), u) for u in sets(data, off, size) if len(u) or wanted]
+                if wanted:
+                    found = [x for x, w in zip(found, base.longs(part, "node").tolist()) if x[0] == w and len(x[1])]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), base.binary([u.tobytes() for _, u in found])], names=["node", "grams"])
 
     return run
 
 
-def _by_node(size: int):
-    """(node, text) of rows whose text has words, each set once a task."""
-
+def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for part, data, off in base.pieces(batch, "text"):
-                nodes = [node_of(u) if len(u) else None for u in sets(data, off, size)]
-                new = [x is not None and x not in seen and not seen.add(x) for x in nodes]
-                out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), part.column(part.schema.get_field_index("text"))], names=["node", "text"])
-                yield out.filter(pa.array(new, pa.bool_()))
-
-    return run
-
-
-def _compare(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                xs, ys = (sets(*base.utf8(part.column(part.schema.get_field_index(c))), size) for c in ("ta", "tb"))
-                both = np.array([len(np.intersect1d(x, y, True)) for x, y in zip(xs, ys)])
-                either = np.array([len(x) + len(y) for x, y in zip(xs, ys)]) - both
-                yield part.filter(pa.array(100 * both >= percent * either)).select(["a", "b"])
+            xs, ys = (batch.column(batch.schema.get_field_index(c)) for c in ("ga", "gb"))
+            ok = []
+            for x, y in zip(xs, ys):
+                u, v = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
+                if len(u) > len(v):
+                    u, v = v, u
+                at = np.searchsorted(v, u)
+                at[at == len(v)] = 0
+                both = int((v[at] == u).sum())
+                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
 
@@ -193,34 +230,11 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"))
 
 
-def _beyond(size: int, percent: int, sketch):
-    """For node a and its list's smallest node b: whether they are linked, and the rare-first prefix of a's n-grams that b lacks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.frombuffer(sketch.value, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                xs, ys = (sets(*base.utf8(part.column(part.schema.get_field_index(c))), size) for c in ("ta", "tb"))
-                cols: list[list] = [[] for _ in range(8)]
-                for node, z, x, y in zip(base.longs(part, "a").tolist(), base.longs(part, "b").tolist(), xs, ys):
-                    own = np.setdiff1d(x, y, True)
-                    same = len(x) - len(own)
-                    linked = 100 * same >= percent * (len(x) + len(y) - same)
-                    own = own[np.lexsort((own, count[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
-                    keep = len(own) - max(1, -(-percent * len(x) // 100) - same) + 1
-                    posted = [None, *own[: max(keep, 0)].view(np.int64).tolist()]  # the first row tells of the link only
-                    k = len(posted)
-                    for c, v in zip(cols, ([z] * k, [node] * k, [len(x)] * k, [same] * k, posted, range(-1, k - 1), [len(own)] * k, [linked] + [False] * (k - 1))):
-                        c.extend(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["z", "node", "n", "same", "x", "pos", "size", "linked"])
-
-    return run
-
-
 class JaccardJoin:
-    """The join over docs(doc_id, text); :meth:`components` and :attr:`links` hold its results."""
+    """The join over docs(doc_id, text); :meth:`components` and :attr:`links` (a, b: nodes) hold its results.
+
+    :meth:`close` deletes its tables from the shared folder.
+    """
 
     def __init__(self, docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
         if not 0 < percent <= 100:
@@ -228,115 +242,121 @@ class JaccardJoin:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         base.ship(self.spark)
         self.docs = docs.select("doc_id", "text")
-        profile = base.materialize(self.docs.mapInArrow(_profile(size), PROFILE))
+        self.held: list[DataFrame] = []
+        profile = self._keep(self.docs.mapInArrow(_profile(size), PROFILE))
         self.members = profile.where("n >= 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-        parts = profile.where("n = -1").select("node", "data").groupBy("node").applyInArrow(_add, "node long, data binary").collect()  # of fixed size
-        sketch = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int64)
-        for r in parts:
-            sketch[r.node] = np.frombuffer(r.data, np.int64)
-        self.sketch = self.spark.sparkContext.broadcast(sketch.tobytes())
-        self.nodes = base.materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("data")))
-        self.unnamed = not self.nodes.where("doc_id IS NULL").isEmpty()
+        count = _sketch(profile.where("n = -1").select("node", "data"))
+        self.hot = max(HOT_LEAST, int(HOT * count.mean()))
+        self.sketch = self.spark.sparkContext.broadcast(np.minimum(count, 0xFFFFFFFF).astype(np.uint32).tobytes())
+        self.nodes = self._keep(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("data")))
+        one = self.nodes.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+        self.n_nodes, self.unnamed = one.n, one.ids < one.n
         self.links = self._links()
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.held.append(base.materialize(df))
+        return self.held[-1]
+
+    def close(self) -> None:
+        while self.held:
+            base.release(self.held.pop())
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that reach the threshold, as (a, b)."""
         h = self.nodes.select("node", "data")
         near = pairs.join(h.select(F.col("node").alias("a"), F.col("data").alias("ha")), "a").join(h.select(F.col("node").alias("b"), F.col("data").alias("hb")), "b")
-        near = base.materialize(near.mapInArrow(_suffix_filter(self.percent), "a long, b long, na int, nb int"))
-        texts = self._texts(near)
-        ta, tb = (texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
-        out = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(self.size, self.percent), "a long, b long")
-        out = base.materialize(out.distinct())
-        for x in (near, texts):
+        near = base.materialize(near.mapInArrow(_suffix_filter(self.percent), "a long, b long"))
+        grams = self._grams(near)
+        ga, gb = (grams.select(F.col("node").alias(n), F.col("grams").alias(f"g{n}")) for n in "ab")
+        out = self._keep(near.join(ga, "a").join(gb, "b").mapInArrow(_compare(self.percent), "a long, b long"))
+        for x in (near, grams):
             base.release(x)
         return out
 
-    def _texts(self, pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes of pairs(a, b)."""
+    def _grams(self, pairs: DataFrame) -> DataFrame:
+        """(node, grams) of the nodes of pairs(a, b)."""
         want = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         want = base.materialize(want.join(self.nodes, "node").select("node", "doc_id"))
         n = want.count()
-        held = self.docs.join(base.small(want.where("doc_id IS NOT NULL"), 48 * n), "doc_id").select("node", "text").mapInArrow(_own_text(self.size), "node long, text string")
+        held = self.docs.join(base.small(want.where("doc_id IS NOT NULL"), 48 * n), "doc_id").select("node", "text").mapInArrow(_set_of(self.size, True), "node long, grams binary")
         if self.unnamed:  # sets that only rows with a null id have are found by their node
-            null = self.docs.where("doc_id IS NULL").select("text").mapInArrow(_by_node(self.size), "node long, text string")
-            null = null.join(base.small(want.where("doc_id IS NULL").select("node"), 48 * n), "node")
-            held = held.unionByName(null.groupBy("node").agg(F.first("text").alias("text")))
-        out = base.materialize(held)
+            null = self.docs.where("doc_id IS NULL").select("text").mapInArrow(_set_of(self.size, False), "node long, grams binary")
+            held = held.unionByName(null.join(base.small(want.where("doc_id IS NULL").select("node"), 48 * n), "node"))
+        out = base.materialize(held.groupBy("node").agg(F.first("grams").alias("grams")))  # rows of one id may have equal sets
         base.release(want)
         return out
 
-    def _links(self) -> DataFrame:
-        posts = self.docs.mapInArrow(_postings(self.size, self.percent, self.sketch), "token long, node long, n int, pos int")
-        w = Window.partitionBy("token")
-        h = F.xxhash64("node")
-        posts = posts.withColumn("lo", F.min(F.struct("n", h.alias("h"), "node", "pos")).over(w)).withColumn("hi", F.min(F.struct("pos", h.alias("h"), "node", "n")).over(w)).withColumn("least", F.min("node").over(w)).withColumn("last", F.max("node").over(w))
-        posts = base.materialize(posts.where("least <> last").drop("least", "last"))  # lists of one node link nothing
-
-        # first round: of the smallest and the least edited node of its lists, the one that a node shares most prefix n-grams with
-        def star(c: str) -> DataFrame:
-            return posts.where(f"node <> {c}.node").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col(f"{c}.node").alias("b"), F.col(f"{c}.n").alias("nb"), F.col(f"{c}.pos").alias("pb"))
+    def _postings(self) -> DataFrame:
+        """(token, node, n, pos) of the lists that hold several nodes, a row a node."""
+        posts = self.docs.mapInArrow(_postings(self.size, self.percent, self.sketch, self.hot), POSTS).repartition("token", "slice")
+        lists = posts.groupBy("token", "slice").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last OR slice > 0").select("token", "slice")
+        held = posts.join(lists.hint("shuffle_hash"), ["token", "slice"])
+        return base.materialize(held.dropDuplicates(["token", "slice", "node"]).select("token", "node", "n", "pos"))
 
-        near = _filters(star("lo").unionByName(star("hi")), self.percent).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    def _stars(self, posts: DataFrame) -> DataFrame:
+        """(a, b, na, nb): each node with the best of its lists' centres."""
+        h = F.xxhash64("node")
+        centres = posts.groupBy("token").agg(F.min(F.struct("n", h.alias("h"), "node", "pos")).alias("lo"), F.min(F.struct("pos", h.alias("h"), "node", "n")).alias("hi"))
+        fields = lambda c: F.struct(F.col(f"{c}.node").alias("b"), F.col(f"{c}.n").alias("nb"), F.col(f"{c}.pos").alias("pb"))
+        met = posts.join(centres.select("token", F.array(fields("lo"), fields("hi")).alias("c")), "token").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode("c").alias("c")).select("a", "na", "pa", "c.*").where("a <> b")
+        near = _filters(met, self.percent).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         best = near.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("k", "b")).alias("c")).select("a", "na", "c.b", "c.nb")
-        tried = base.materialize(_ordered(best).distinct())
-        links = self._verify(tried)
+        return base.materialize(_ordered(best).distinct())
 
-        # lists of a prefix n-gram that still hold several components: no other pair can change the result
-        labels = connected_components(links, "a", "b")
-        rooted = base.materialize(posts.select("token", "node", "n", "pos").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
-        base.release(posts)
-        by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("k"), F.min(F.struct("n", h.alias("h"), "node")).alias("z"))
-        main = by_root.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("k").alias("m"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("z").alias("z")).where("r0 <> r1").select("token", "m", "main", "z")
+    def _across(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
+        """(a, b, na, nb) of the lists' nodes in different components, past the length and positional filters."""
+        rooted = base.materialize(posts.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
+        by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("k"))
+        main = by_root.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("k", "root")).alias("main")).where("r0 <> r1").select("token", "main")
         mixed = base.materialize(rooted.join(main, "token"))
         base.release(rooted)
+        # sizes that may meet are in the same or in neighbouring classes
+        width = math.log(100 / self.percent) if self.percent < 100 else math.log(2)
+        grade = F.floor(F.log("n") / F.lit(width) + F.lit(1e-9)).cast("int")
+        x = mixed.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.explode(F.array(grade - 1, grade, grade + 1)).alias("grade"))
+        y = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main", grade.alias("grade"))
+        met = x.join(y, ["token", "grade"]).where("ra <> rb AND (rb = main OR a < b)")
+        out = base.materialize(_ordered(_filters(met, self.percent)).distinct())
+        base.release(mixed)
+        return out
 
-        # short lists: all pairs across components
-        few = mixed.where(F.col("m") <= SHORT_LIST)
-        x = few.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-        y = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main")
-        pairs = _ordered(_filters(x.join(y, "token").where("ra <> rb AND (rb = main OR a < b)"), self.percent)).distinct()
-
-        # long lists: each node against the list's smallest node z, exactly. Two nodes that reach the threshold are
-        # either both linked with z, or share an n-gram that z lacks: those are posted again, in z's name.
-        stars = base.materialize(mixed.where(F.col("m") > SHORT_LIST).where("node <> z.node").select(F.col("node").alias("a"), F.col("z.node").alias("b")).distinct())
-        texts = self._texts(stars)
-        ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        rest = stars.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_beyond(self.size, self.percent, self.sketch), "z long, node long, n int, same int, x long, pos int, size int, linked boolean")
-        rest = base.materialize(rest)
-        base.release(texts)
-        base.release(stars)
-        links = base.materialize(links.unionByName(rest.where("linked").select(F.col("node").alias("a"), F.col("z").alias("b")).distinct()))
+    def _links(self) -> DataFrame:
+        posts = self._postings()
+        tried = self._stars(posts)
+        links = self._verify(tried)
         labels = connected_components(links, "a", "b")
-        rest2 = rest.where("x IS NOT NULL").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
-        lists = rest2.groupBy("z", "x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("z", "x")
-        rest2 = base.materialize(rest2.join(lists, ["z", "x"]).select("z", "x", "node", "n", "same", "pos", "size", "root"))
-        u, v = (rest2.select("z", "x", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("same").alias(f"s{c}"), (F.col("size") - F.col("pos")).alias(f"p{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-        need = F.ceil((F.col("na") + F.col("nb")) * F.lit(self.percent) / F.lit(100 + self.percent) - F.lit(1e-9))
-        far = u.join(v, ["z", "x"]).where("ra <> rb AND a < b").where(F.col("na") * 100 >= F.col("nb") * self.percent).where(F.col("nb") * 100 >= F.col("na") * self.percent)
-        far = far.where(F.least("sa", "sb") + F.least("pa", "pb") >= need).select("a", "b", "na", "nb").distinct()
-
-        more = self._verify(base.materialize(pairs.unionByName(far).distinct().join(tried, ["a", "b"], "left_anti")))
-        for d in (rest, rest2, mixed, tried):
-            base.release(d)
+        across = self._across(posts, labels)
+        for x in (posts, labels):
+            base.release(x)
+        pairs = base.materialize(across.join(tried, ["a", "b"], "left_anti"))
+        more = self._verify(pairs)
+        for x in (across, tried, pairs):
+            base.release(x)
         return links.unionByName(more)
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id (the least doc_id that links reach; a text without words: its own)."""
         first = self.nodes.select("node", F.col("doc_id").alias("least"))
         labels = connected_components(self.links, "a", "b")
+        self.held.append(labels)
         held = labels.join(first, "node")
         roots = held.groupBy("component").agg(F.min("least").alias("root_least"))
         of = first.join(held.select("node", "component").join(roots, "component").select("node", "root_least"), "node", "left").select("node", F.coalesce("root_least", "least").alias("cid"))
-        out = self.members.join(base.small(of, 40 * self.nodes.count()), "node", "left")
+        out = self.members.join(base.small(of, 40 * self.n_nodes), "node", "left")
         return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).alias("component_id"))
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    return JaccardJoin(docs, size, percent).components()
+    """doc_id, n_shingles, component_id of each row; the join's tables are deleted, the result stands in the shared folder."""
+    join = JaccardJoin(docs, size, percent)
+    out = base.materialize(join.components())
+    join.close()
+    return out
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs without the members of a component other than its least doc_id; of rows that share an id all stay or go."""
-    gone = base.materialize(components(docs, size, percent).where("component_id < doc_id").select("doc_id").distinct())
+    found = components(docs, size, percent)
+    gone = base.materialize(found.where("component_id < doc_id").select("doc_id").distinct())
+    base.release(found)
     return docs.join(base.small(gone, 24 * gone.count()), "doc_id", "left_anti")
