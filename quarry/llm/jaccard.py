@@ -13,9 +13,17 @@ node with one centre: of the smallest and the least edited node of each of its
 lists the one that it shares most prefix n-grams with. After it only lists that
 hold several components matter, since a pair inside one component changes
 nothing; there the nodes outside the list's largest component meet the nodes of
-other components, by n-gram and size class, whatever the list's length. Pairs
-of the first round are not compared again. What remains quadratic is the number
-of sets that share a rare n-gram, pass all filters and yet are not linked.
+other components, by n-gram and size class. Pairs of the first round are not
+compared again.
+
+A crowded list (more than ``CROWD`` nodes outside its largest component, as in
+a large family of copies that are just too far apart) would bring all pairs
+past these filters. Its nodes are filtered once more, by their difference from
+the component's hub z: |a ^ b| = |Da| + |Db| - 2 |Da & Db| for Da = a ^ z, so a
+and b reach the threshold only if Da and Db share so many n-grams, and since
+one of the two is not linked with z that is at least one. The differences have
+rare-first prefixes too, and meet by (z, n-gram) with the positional filter.
+This is exact, and no list is too long for it.
 
 Pairs travel as ids; the n-gram sets are computed once for each node that a
 pair needs. Postings of an n-gram that the sketch shows to be far above the
@@ -52,6 +60,8 @@ HOT, HOT_LEAST, SLICES = 8, 1 << 16, 64
 FAN = 32
 #: Distinct sets that a task remembers, to post equal texts once.
 SEEN = 1 << 18
+#: A list with more nodes than this outside its largest component is filtered by differences.
+CROWD = 32
 _CHUNKS = 64
 _RANGES = 64
 
@@ -218,6 +228,38 @@ def _compare(percent: int):
     return run
 
 
+APART = "z long, node long, n int, linked boolean, x long, pos int, size int"
+
+
+def _apart(percent: int, sketch):
+    """For node b and hub a: whether they are linked, and the rare-first prefix of their difference (x, pos) of so many n-grams (size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.frombuffer(sketch.value, np.uint32)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+        up, down = 100 + percent, 100 - percent
+        for batch in batches:
+            cols: list[list] = [[] for _ in kinds]
+            sides = [batch.column(batch.schema.get_field_index(c)) for c in ("ga", "gb")]
+            for z, node, gz, gx in zip(base.longs(batch, "a").tolist(), base.longs(batch, "b").tolist(), *sides):
+                u, v = (np.frombuffer(c.as_buffer(), np.uint64) for c in (gz, gx))
+                d = np.setxor1d(u, v, True)
+                size = len(d)
+                linked = up * size <= down * (len(u) + len(v))
+                # common n-grams with the difference of a node that may be linked with this one, at least
+                if linked:  # the other one is not linked with z
+                    need = (up * size - down * (len(v) - len(u))) // (2 * up) + 1
+                else:
+                    need = -(-(up * size - down * (len(u) + len(v))) // (2 * up))
+                d = d[np.lexsort((d, count[_cells(d)]))][: max(0, size - max(1, need) + 1)]
+                k = 1 + len(d)  # the first row tells of the link only
+                for c, x in zip(cols, ([z] * k, [node] * k, [len(v)] * k, [linked] * k, [None, *d.view(np.int64).tolist()], range(-1, k - 1), [size] * k)):
+                    c.extend(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["z", "node", "n", "linked", "x", "pos", "size"])
+
+    return run
+
+
 def _filters(df: DataFrame, percent: int) -> DataFrame:
     """Length and positional filters over (na, pa, nb, pb)."""
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
@@ -289,7 +331,9 @@ class JaccardJoin:
     def _postings(self) -> DataFrame:
         """(token, node, n, pos) of the lists that hold several nodes, a row a node."""
         posts = self.docs.mapInArrow(_postings(self.size, self.percent, self.sketch, self.hot), POSTS).repartition("token", "slice")
-        lists = posts.groupBy("token", "slice").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last OR slice > 0").select("token", "slice")
+        # the sums keep all columns on this side, so that both sides are one exchange
+        lists = posts.groupBy("token", "slice").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.sum("n").alias("ns"), F.sum("pos").alias("ps"))
+        lists = lists.where("(least <> last OR slice > 0) AND ns + ps > 0").select("token", "slice")
         held = posts.join(lists.hint("shuffle_hash"), ["token", "slice"])
         return base.materialize(held.dropDuplicates(["token", "slice", "node"]).select("token", "node", "n", "pos"))
 
@@ -303,36 +347,65 @@ class JaccardJoin:
         best = near.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("k", "b")).alias("c")).select("a", "na", "c.b", "c.nb")
         return base.materialize(_ordered(best).distinct())
 
-    def _across(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
-        """(a, b, na, nb) of the lists' nodes in different components, past the length and positional filters."""
+    def _mixed(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
+        """The postings of lists that hold several components, with the list's largest one (main) and how many nodes are outside it."""
         rooted = base.materialize(posts.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
         by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("k"))
-        main = by_root.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("k", "root")).alias("main")).where("r0 <> r1").select("token", "main")
-        mixed = base.materialize(rooted.join(main, "token"))
+        main = by_root.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("outside"))
+        out = base.materialize(rooted.join(main.where("r0 <> r1").select("token", "main", "outside"), "token"))
         base.release(rooted)
+        return out
+
+    def _across(self, mixed: DataFrame) -> DataFrame:
+        """(a, b, na, nb) of the lists' nodes in different components, past the length and positional filters."""
+        mixed = mixed.where(F.col("outside") <= CROWD)
         # sizes that may meet are in the same or in neighbouring classes
         width = math.log(100 / self.percent) if self.percent < 100 else math.log(2)
         grade = F.floor(F.log("n") / F.lit(width) + F.lit(1e-9)).cast("int")
         x = mixed.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.explode(F.array(grade - 1, grade, grade + 1)).alias("grade"))
         y = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main", grade.alias("grade"))
         met = x.join(y, ["token", "grade"]).where("ra <> rb AND (rb = main OR a < b)")
-        out = base.materialize(_ordered(_filters(met, self.percent)).distinct())
-        base.release(mixed)
-        return out
+        return _ordered(_filters(met, self.percent)).distinct()
+
+    def _by_difference(self, crowded: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links of nodes and hubs, pairs (a, b, na, nb) past the filters on their differences from a hub) of crowded lists."""
+        ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("k"))
+        hubs = ends.join(labels, "node").groupBy(F.col("component").alias("main")).agg(F.max_by("node", F.struct("k", "node")).alias("hub"))
+        stars = crowded.join(hubs, "main", "left").select(F.coalesce("hub", "main").alias("a"), F.col("node").alias("b"), "root").distinct()
+        stars = base.materialize(stars.where("a <> b"))
+        grams = self._grams(stars)
+        ga, gb = (grams.select(F.col("node").alias(n), F.col("grams").alias(f"g{n}")) for n in "ab")
+        apart = stars.select("a", "b").join(ga, "a").join(gb, "b").mapInArrow(_apart(self.percent, self.sketch), APART)
+        apart = base.materialize(apart)
+        found = self._keep(apart.where("x IS NULL AND linked").select(F.col("z").alias("a"), F.col("node").alias("b")))
+        rooted = apart.where("x IS NOT NULL").join(stars.select(F.col("a").alias("z"), F.col("b").alias("node"), "root"), ["z", "node"])
+        u, v = (rooted.select("z", "x", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("size").alias(f"s{c}"), F.col("root").alias(f"r{c}"), F.col("linked").alias(f"l{c}")) for c in "ab")
+        need = F.col("sa") + F.col("sb") - (F.col("na") + F.col("nb")) * F.lit(100 - self.percent) / F.lit(100 + self.percent)
+        met = u.join(v, ["z", "x"]).where("ra <> rb AND a < b AND NOT (la AND lb)").where(2 * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= need - F.lit(1e-6))
+        pairs = base.materialize(met.select("a", "b", "na", "nb").distinct())
+        for x in (stars, grams, apart):
+            base.release(x)
+        return found, pairs
 
     def _links(self) -> DataFrame:
         posts = self._postings()
         tried = self._stars(posts)
         links = self._verify(tried)
         labels = connected_components(links, "a", "b")
-        across = self._across(posts, labels)
-        for x in (posts, labels):
-            base.release(x)
+        mixed = self._mixed(posts, labels)
+        base.release(posts)
+        across, more = self._across(mixed), []
+        crowded = mixed.where(F.col("outside") > CROWD)
+        if not crowded.isEmpty():
+            found, pairs = self._by_difference(crowded, links, labels)
+            across, more = across.unionByName(pairs).distinct(), [found]
         pairs = base.materialize(across.join(tried, ["a", "b"], "left_anti"))
-        more = self._verify(pairs)
-        for x in (across, tried, pairs):
+        more.append(self._verify(pairs))
+        for x in (mixed, labels, tried, pairs):
             base.release(x)
-        return links.unionByName(more)
+        for x in more:
+            links = links.unionByName(x)
+        return links
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id (the least doc_id that links reach; a text without words: its own)."""

@@ -68,6 +68,40 @@ def test_chains_of_shortened_copies(spark):
     assert {d for d in want if got[d] != want[d]} == set()
 
 
+def test_crowded_lists_by_difference(spark, monkeypatch):
+    """A family of copies around the threshold: nodes outside the largest component meet by their differences from its hub."""
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 20)
+    monkeypatch.setattr(jaccard, "HOT", 0)
+    rows = []
+    for seed, size in ((1, 110), (2, 70), (3, 40)):
+        r = random.Random(seed)
+        w = [f"s{seed}w{i}" for i in range(size)]
+        for i in range(90):
+            v = list(w)
+            for _ in range(r.choice([0, 1, 1, 2, 2, 3, 3, 4])):
+                k = r.randrange(len(v))
+                v[k : k + r.randint(0, 2)] = [r.choice([f"x{seed}-{r.randint(0, 3)}", f"y{seed}-{i}"])] * r.randint(0, 2)
+            rows.append(" ".join(v[r.choice([0, 0, 0, 3]) : len(v) - r.choice([0, 0, 4])]))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    called, plain = [], jaccard.JaccardJoin._by_difference
+    monkeypatch.setattr(jaccard.JaccardJoin, "_by_difference", lambda *a: called.append(1) or plain(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()}
+    want = brute(rows, 5, 80)
+    assert called and {d for d in want if got[d] != want[d]} == set()
+    assert len({c for _, c in want.values()}) > 10
+
+
+def test_long_texts_and_repeated_rows(spark):
+    r = random.Random(9)
+    long = [f"w{r.randint(0, 30000)}" for _ in range(60000)]
+    rows = [(5, " ".join(long)), (6, " ".join(long[:59000])), (7, " ".join(long[30000:])), (7, " ".join(long[30000:])), (7, "other text of this id"), (8, "other text of this id")]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = [len(shingles(t, 5)) for _, t in rows]
+    assert got == sorted([(5, n[0], 5), (6, n[1], 5), (7, n[2], 7), (7, n[3], 7), (7, 1, 7), (8, 1, 7)])
+
+
 def test_empty_null_ids_and_extra_columns(spark):
     docs = spark.createDataFrame([(None, "a b c", 1), (4, "a b c", 2), (9, "A b c", 3), (9, "q", 3)], "doc_id long, text string, node int")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.components(docs).collect()), key=str)
