@@ -8,9 +8,11 @@ posterior. A chain is a line, cut after ``CHAIN`` words. A text's language is
 the one with the greatest mean posterior (ties: the smaller name), its score
 that mean.
 
-Training sees at most ``MAX_DOCS`` texts for each language and ``MAX_LANGS``
-languages, by hash of the id; its chains mix stretches of several languages,
-so that switches are learned too.
+Training sees at most ``MAX_DOCS`` texts for each language, and fewer where
+there are so many languages that this would be more than ``MAX_ROWS`` in all
+(more languages than that are an error), by hash of the id; its chains mix
+stretches of several languages, so that switches are learned too. Rows that
+share an id are texts of their own, labelled with that id's languages.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every
 text if there is nothing to learn from.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm import base, kernels
 
 MAX_DOCS = 250
-MAX_LANGS = 64
+MAX_ROWS = 16_000
 CHAIN = 128
 LEXICON = 4000
 _AFFIX, _GRAM, _LEX = 1 << 15, 1 << 15, 1 << 16
@@ -190,13 +192,15 @@ def label(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     return model.posteriors(model.emissions(features(data, starts, ends, model.lexicon), starts), chain, np.diff(np.r_[chain, n])), first
 
 
-def fit(docs: DataFrame, eligible: Column, max_docs: int = MAX_DOCS) -> Model | None:
-    """A model from at most ``max_docs`` eligible rows of docs(doc_id, text, lang) for each language."""
+def fit(docs: DataFrame, eligible: Column, max_docs: int = MAX_DOCS, max_rows: int = MAX_ROWS) -> Model | None:
+    """A model of every language of the eligible rows of docs(doc_id, text, lang), from at most ``max_docs`` ids each and ``max_rows`` in all."""
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(eligible & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_docs)
-    langs = [r.lang for r in ids.select("lang").distinct().orderBy("lang").limit(MAX_LANGS).collect()]
-    ids = ids.where(F.col("lang").isin(langs)).drop("_k")
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("text", "lang", "doc_id")  # at most max_docs * MAX_LANGS ids
+    known = docs.where(eligible & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    if n > max_rows:
+        raise ValueError(f"{n} languages, but at most {max_rows} training texts")
+    ids = known.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= min(max_docs, max_rows // max(n, 1))).drop("_k")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("text", "lang", "doc_id")  # at most max_rows ids
     rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 

@@ -12,7 +12,10 @@ The fingerprint is a bottom-k sketch of the phrase names of two levels, the
 same at every length: the second (about ten code points) and the third. Likeness of two fingerprints is the share of
 common values among the k least of both (an estimate of the Jaccard
 coefficient of the phrase sets). An empty or null text has the empty
-fingerprint, which is like itself only.
+fingerprint, which is like itself only. Names of a level are 64-bit hashes, of
+which the sketch keeps 32 bits; ties cannot occur, equal values are one. Rows
+that share an id follow each other by text, and one id's rows are one task's. A
+very long text is parsed alone.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ from quarry.llm import base, kernels
 
 K = 64
 TOSSES = 3
-#: Parts of the id range for each shuffle partition.
-PARTS = 4
 
 
 def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     base.ship(spark)
     least = -(1 << 63)
     rows = docs.select("doc_id", "text").withColumn("key", F.coalesce("doc_id", F.lit(least)))
-    n = PARTS * base.shuffle_partitions(spark)
+    n = base.shuffle_partitions(spark)
     bounds = sorted({int(b) for b in rows.select("key").stat.approxQuantile("key", [i / n for i in range(1, n)], max(1e-5, 0.2 / n))}) if n > 1 else []
     rows = rows.withColumn("part", _part(bounds))
     tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max("key").alias("top")).collect()}  # a row a part
@@ -210,5 +211,5 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     more = F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest")))
     dealt = asked.select("doc_id", "key", "text", F.explode(F.concat(F.array(own), more)).alias("x")).select("x.part", "x.guest", "doc_id", "key", "text")
-    dealt = dealt.repartition(base.shuffle_partitions(spark), "part").sortWithinPartitions("part", "guest", F.desc("key"), "text")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.desc("key"), "text")
     return dealt.select("part", "guest", "doc_id", "text").mapInArrow(_edit(k), OUT)

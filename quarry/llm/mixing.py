@@ -13,7 +13,8 @@ added up before the descent, whose every step is one aggregation over that
 table. Only one number per domain comes to the driver.
 
 Null and empty texts have no tokens; they get the posteriors of their shape,
-and a rate like any other. A null id is kept. Training sees at most
+and a rate like any other. A null id is kept, repeated rows get the same rate,
+and so do rows of equal posteriors. Training sees at most
 ``MAX_DOCS`` labelled documents, by hash of the id; without two labels in them
 every document belongs wholly to the one domain (or to ``None``).
 """
@@ -132,7 +133,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, column: str, max_docs: in
 
 
 def membership(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with ``_tokens`` long and ``_p`` array<double> (by domain, multiples of 1 / GRID that add up to 1)."""
+    """docs with ``_tokens`` long and ``_p`` array<double> (by domain, multiples of 1 / GRID that add up to 1), in place of columns of these names."""
+    docs = docs.drop("_tokens", "_p")
     base.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -215,18 +217,29 @@ def fit_rates(groups: DataFrame, target: list[float], most: float | None = None)
 
 
 def mix(docs: DataFrame, labels: DataFrame, column: str, weights: dict, tokens: float | None = None, most: float | None = None) -> DataFrame:
-    """docs with _tokens, _p and ``_rate`` added.
+    """docs with _tokens, _p and ``_rate`` added (in place of columns of these names).
 
     ``weights`` gives each domain's share; ``tokens`` the share of all tokens that the mix comes to in
-    expectation (all by default), ``most`` the largest rate. Domains without a weight get none.
+    expectation, ``most`` the largest rate. By default that is all tokens; with ``most`` as many as the
+    domain of the greatest weight can bear at that rate, and a domain that has too few tokens for its share
+    then gives what it has. So targets are in reach. Domains without a weight get none.
     """
+    docs = docs.drop("_tokens", "_p", "_rate")
     model = fit_classifier(docs, labels, column)
     held = membership(docs, model)
     groups = base.materialize(held.groupBy("_p").agg(F.sum("_tokens").alias("_tokens")))
-    n = groups.agg(F.sum("_tokens")).first()[0] or 0
+    named = list(model.names)
+    has = groups.agg(*(F.sum(F.col("_tokens") * F.col("_p")[i]) for i in range(len(named)))).first()
+    has = [float(v or 0) for v in has]
     whole = sum(weights.values())
-    named = [x for x in model.names]
-    target = [n * (1.0 if tokens is None else tokens) * weights.get(x, 0.0) / whole for x in named] if len(named) > 1 else [float(n) * (1.0 if tokens is None else tokens)]
+    share = [weights.get(x, 0.0) / whole for x in named] if len(named) > 1 else [1.0]
+    total = sum(has)
+    if tokens is not None:
+        total *= tokens
+    elif most is not None:
+        lead = max(range(len(share)), key=lambda i: share[i])
+        total = most * has[lead] / share[lead] if share[lead] else 0.0
+    target = [total * w if tokens is not None or most is None else min(total * w, most * h) for h, w in zip(has, share)]
     rates = base.materialize(fit_rates(groups, target, most).select("_p", F.col("rate").alias("_rate")))
     return held.join(base.small(rates, 96 * rates.count()), "_p").select(*docs.columns, "_tokens", "_p", "_rate")
 

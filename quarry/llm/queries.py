@@ -17,6 +17,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_substring_dedup"] = op7_substring_dedup
+ORACLES["op7_substring_dedup"] = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+g AS (SELECT doc_id, pos, w[pos] AS word, CASE WHEN pos + 19 <= len(w) THEN array_to_string(w[pos:pos + 19], ' ') END AS win FROM e),
+r AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS late FROM g),
+c AS (SELECT *, max(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +33,20 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
+ORACLES["op2_ngram_jaccard_join"] = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+u AS (SELECT min(doc_id) AS id, len(g) AS n, g FROM (SELECT doc_id, list_sort(g) AS g FROM s) GROUP BY g),
+x AS (SELECT id, n, unnest(g) AS gram FROM u),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.gram = b.gram AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+y AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT id, id AS root FROM u UNION SELECT c.id, y.b FROM c JOIN y ON c.root = y.a),
+m AS (SELECT id, min(root) AS root FROM c GROUP BY id)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE m.root END AS component_id
+FROM s JOIN u ON list_sort(s.g) = u.g JOIN m ON m.id = u.id"""
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from quarry.llm import base, kernels
 WINDOW = 20
 #: Words that a task gathers before it sends them.
 PACKET_WORDS = 1 << 20
+#: Bytes of text for each hash range, at most (there are more ranges where that is less than a partition's share).
+RANGE_BYTES = 16 << 20
 
 
 def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +101,8 @@ def _probe(buckets: int, size: int, limit: int):
             if not hs:
                 continue
             h, doc, block = np.concatenate(hs), np.concatenate(docs), np.concatenate(blocks)
+            # the bucket by the upper half of the hash, and its lower half, which ascends inside the bucket
+            h = ((h >> np.uint64(32)) * np.uint64(buckets) & ~np.uint64(0xFFFFFFFF)) | (h & np.uint64(0xFFFFFFFF))
             order = np.argsort(h, kind="stable")
             h, doc, block = h[order], doc[order], block[order]
             new = np.r_[True, h[1:] != h[:-1]]
@@ -108,9 +112,7 @@ def _probe(buckets: int, size: int, limit: int):
             # a block met twice here is anchored; its hash still probes for the other tasks
             known = many & (block >= 0)
             alone = ~many & (block >= 0)
-            # 40 bits of the hash times the buckets: the bucket, and 32 bits that ascend inside it
-            wide = (h >> np.uint64(24)) * np.uint64(buckets)
-            to, low = (wide >> np.uint64(40)).astype(np.int64), wide >> np.uint64(8) & np.uint64(0xFFFFFFFF)
+            to, low = (h >> np.uint64(32)).astype(np.int64), h & np.uint64(0xFFFFFFFF)
             rows = {}
             for b, (p,) in _blobs(to[lead], [low[lead]], [np.uint32]):
                 rows[b] = [p, b"", b"", b""]
@@ -120,7 +122,7 @@ def _probe(buckets: int, size: int, limit: int):
                 d, k = doc[known], block[known]
                 for i in range(0, len(d), 1 << 16):
                     rows[-1 - i] = [b"", b"", d[i : i + (1 << 16)].tobytes(), k[i : i + (1 << 16)].astype(np.int32).tobytes()]
-            salt = int(h[0] >> np.uint64(40))
+            salt = int(h[-1] & np.uint64(0xFFFFFF))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b if b >= 0 else (salt + b) % buckets for b in rows], pa.int32()), *(base.binary([v[i] for v in rows.values()]) for i in range(4))],
                 names=["bucket", "probes", "grid", "doc", "block"],
@@ -241,8 +243,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, packet_words: int | No
     spark = docs.sparkSession
     base.ship(spark)
     size = max(1, window // 2)
-    buckets = 4 * base.shuffle_partitions(spark)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    size_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(4 * base.shuffle_partitions(spark), -(-size_ // RANGE_BYTES)), 1 << 30)
     anchors = (
         texts.mapInArrow(_probe(buckets, size, packet_words), PROBES)
         .groupBy("bucket")
@@ -310,7 +313,8 @@ def _with_spans(docs: DataFrame, window: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated words cut from ``text`` (a text that loses nothing stays as it is; others
-    are their kept words joined by one space) and ``_n_words``, ``_n_removed`` added."""
+    are their kept words joined by one space) and ``_n_words``, ``_n_removed`` added, in place of columns of these names."""
+    docs = docs.drop("_n_words", "_n_removed", "_spans")
     from pyspark.sql.pandas.types import to_arrow_type
 
     held = _with_spans(docs, window).select(*(f"`{c}`" for c in docs.columns), "_spans")

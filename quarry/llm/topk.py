@@ -7,7 +7,9 @@ query's k-th best score, and the survivors are compacted. Queries go to the
 executors in blocks of bounded size; each task returns its own top k of each
 query, and a window picks the best of these.
 
-Components are ``floor(scale * x)`` with x as double, saturated at +-2**27. A
+Components are ``floor(scale * x)`` with x as double, a long (what is outside
+the range of long counts as its nearest end), and so is a score. Sums that
+could leave the range are added as unbounded integers. A
 vector that is null or has a null or non-finite component takes no part, and
 neither does a null id. Vectors of different length do not meet. Rows that
 share an id are one candidate (its best score), and none of a query's own id.
@@ -29,14 +31,14 @@ from quarry.llm import base
 QUERY_BLOCK = 4096
 #: Dimensions a step adds; queries that share a compaction; candidates a step looks at.
 DIMS, GROUP, ROWS = 8, 32, 8192
-_EDGE = 1 << 27
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id long, v array<long>) of the rows that take part."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     fine: Column = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    v = F.transform(x, lambda c: F.greatest(F.lit(-_EDGE).cast("long"), F.least(F.lit(_EDGE).cast("long"), F.floor(c * F.lit(float(scale))))))
+    v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -86,11 +88,12 @@ def _search(x: np.ndarray, ids: np.ndarray, rest: np.ndarray, q: np.ndarray, q_i
             return
     for j in range(len(q)):
         ok = np.flatnonzero((part[j] >= best.floor[lo + j]) & (ids[at] != q_ids[j]))
-        if len(ok) > 4 * best.k:  # ties stay in; the sort is for the few that can win
+        if len(ok) > 4 * best.k and part.dtype != object:  # ties stay in; the sort is for the few that can win
             cut = np.partition(part[j][ok], len(ok) - best.k)[len(ok) - best.k] if len(np.unique(ids[at[ok]])) == len(ok) else -np.inf
             ok = ok[part[j][ok] >= cut]
         if len(ok):
-            best.add(lo + j, part[j][ok].astype(np.int64), ids[at[ok]])
+            found = part[j][ok]
+            best.add(lo + j, (np.clip(found, _LEAST, _MOST) if found.dtype == object else found).astype(np.int64), ids[at[ok]])
 
 
 def _top(queries, k: int):
@@ -111,9 +114,9 @@ def _top(queries, k: int):
                 for r in range(0, len(rows), ROWS):
                     take = rows[r : r + ROWS]
                     x = flat[off[take][:, None] + np.arange(d)].T
-                    # doubles are exact while every sum stays below 2**53
-                    big = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(int(d), 1)
-                    kind = np.float64 if big < 2**53 else np.int64
+                    # doubles are exact while every sum stays below 2**53, longs below 2**63
+                    big = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(int(d), 1)
+                    kind = np.float64 if big < 2**53 else np.int64 if big < 2**62 else object
                     x, rest = np.ascontiguousarray(x.astype(kind)), _rests(x)
                     for lo in range(0, len(q_ids), GROUP):
                         part = slice(lo, lo + GROUP)

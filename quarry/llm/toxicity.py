@@ -4,9 +4,10 @@ A word (letters and digits, A-Z lower-cased) enters as the sum of a learned
 word vector (for words of a vocabulary learned from the training texts) and the
 scaled sum of learned vectors of its byte trigrams, edges included. Two
 recurrent passes read a window of ``WINDOW`` words, attention pools their
-states, and a logistic unit scores the window. Windows overlap by half and
-cover the whole text; a text's score is its best window's. Everything is
-trained in numpy.
+states, and a logistic unit scores the window. Windows start every ``STRIDE``
+words and at the text's end, so that each overlaps the next; a text's score is
+its best window's. A text shorter than a window is one window of its words, in
+training behind a mask. Everything is trained in numpy.
 
 Only texts are labelled, so training looks for the windows that carry the
 label: it starts from naive Bayes weights and, each round, takes the
@@ -15,7 +16,9 @@ windows of the others. It sees at most ``MAX_TEXTS`` texts of each label, by
 hash of the id.
 
 A text without words (null, empty) scores 0; so does every text if the
-training rows do not hold both labels.
+training texts with words do not hold both labels. Rows that share an id are
+texts of their own; an id with both labels counts as toxic. Ties between
+windows go to the first, and no tie changes a score.
 """
 
 from __future__ import annotations
@@ -99,8 +102,8 @@ class Network:
         chars = np.add.reduceat(self.w["char"][gram], starts, axis=0) if len(starts) else np.zeros((0, D_CHAR), np.float32)
         return np.concatenate([self.w["word"][rows], chars], 1)
 
-    def scan(self, x: np.ndarray, which: str, at: np.ndarray, keep: bool = False):
-        """States (steps, windows, HIDDEN) along the word numbers ``at`` (steps, windows)."""
+    def scan(self, x: np.ndarray, which: str, at: np.ndarray, keep: bool = False, live: np.ndarray | None = None):
+        """States (steps, windows, HIDDEN) along the word numbers ``at`` (steps, windows); a step that is not ``live`` leaves the state."""
         u, h = self.w["u" + which], np.zeros((at.shape[1], HIDDEN), np.float32)
         states = np.empty((*at.shape, HIDDEN), np.float32)
         saved = []
@@ -111,13 +114,16 @@ class Network:
             c = np.tanh(g[:, 2 * HIDDEN :] + reset * r[:, 2 * HIDDEN :])
             if keep:
                 saved.append((h, z, reset, c, r[:, 2 * HIDDEN :]))
-            h = c + z * (h - c)
+            new = c + z * (h - c)
+            h = new if live is None else np.where(live[t][:, None], new, h)
             states[t] = h
         return (states, saved) if keep else states
 
-    def pool(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pool(self, s: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, attention, pooled) of states (steps, windows, 2 HIDDEN)."""
         a = s @ self.w["att"]
+        if live is not None:
+            a = np.where(live, a, np.float32(-1e9))
         a = np.exp(a - a.max(0))
         a /= a.sum(0)
         v = np.einsum("tb,tbh->bh", a, s)
@@ -136,15 +142,16 @@ class Network:
                 out[part] = self.pool(s)[0]
         return out
 
-    def gradients(self, rows: np.ndarray, gram: np.ndarray, starts: np.ndarray, idx: np.ndarray, y: np.ndarray) -> dict:
-        """Gradients of the mean cross-entropy for windows idx (steps, windows) of words."""
+    def gradients(self, rows: np.ndarray, gram: np.ndarray, starts: np.ndarray, idx: np.ndarray, y: np.ndarray, live: np.ndarray | None = None) -> dict:
+        """Gradients of the mean cross-entropy for windows idx (steps, windows) of words; only ``live`` steps count."""
         w, h2 = self.w, 2 * HIDDEN
         x = self.inputs(rows, gram, starts)
         pre = {"f": x @ w["wf"] + w["bf"], "b": x @ w["wb"] + w["bb"]}
         ids = {"f": idx, "b": idx[::-1]}
-        done = {k: self.scan(pre[k], k, ids[k], True) for k in "fb"}
+        lives = {"f": live, "b": None if live is None else live[::-1]}
+        done = {k: self.scan(pre[k], k, ids[k], True, lives[k]) for k in "fb"}
         s = np.concatenate([done["f"][0], done["b"][0][::-1]], 2)
-        p, a, v = self.pool(s)
+        p, a, v = self.pool(s, live)
         g: dict = {}
         dl = ((p - y) / len(y)).astype(np.float32)
         g["out"], g["bias"] = v.T @ dl, dl.sum(keepdims=True)
@@ -160,13 +167,16 @@ class Network:
             for t in range(len(idx) - 1, -1, -1):
                 h, z, reset, c, rc = done[k][1][t]
                 dh = dh + part[t]
+                past = 0
+                if live is not None:
+                    past, dh = np.where(lives[k][t][:, None], 0, dh), np.where(lives[k][t][:, None], dh, 0)
                 dc = dh * (1 - z) * (1 - c * c)
                 dz = dh * (h - c) * z * (1 - z)
                 dr = dc * rc * reset * (1 - reset)
                 back = np.concatenate([dz, dr, dc * reset], 1)
                 np.add.at(dpre, ids[k][t], np.concatenate([dz, dr, dc], 1))
                 du += h.T @ back
-                dh = dh * z + back @ w["u" + k].T
+                dh = dh * z + back @ w["u" + k].T + past
             g["u" + k], g["b" + k], g["w" + k] = du, dpre.sum(0), x.T @ dpre
             dx += dpre @ w["w" + k].T
         size = np.diff(np.r_[starts, len(gram)])
@@ -186,6 +196,9 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 120,
     raw = [t.encode("utf-8", "replace") for t in texts]
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
     word, gram, starts, first = tokens(data, off)
+    worded = np.diff(first) > 0
+    if not (worded & (y == 1)).any() or not (worded & (y == 0)).any():
+        return None
     owner = np.repeat(np.arange(len(y)), np.diff(first))
     size = np.diff(np.r_[starts, len(data)])
 
@@ -212,29 +225,24 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 120,
     text, at, length = windows(first)
     value = np.array([strong[a : a + n].max() for a, n in zip(at, length)])
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
-    full = length == WINDOW
-    pad = np.flatnonzero(full)
-    if not len(pad):
-        full, pad = length > 0, np.arange(len(length))
+    step = np.arange(int(length.max()))[:, None]
     t = 0
     for turn in range(rounds):
         if turn:
             value = net.score(net.inputs(rows, gram, starts), at, length)
-        use = np.flatnonzero(full)
-        best = use[np.lexsort((-value[use], text[use]))]
+        best = np.lexsort((-value, text))
         best = best[np.r_[True, text[best][1:] != text[best][:-1]]]  # each text's best window
         hot = best[y[text[best]] == 1]
         cold_best = best[y[text[best]] == 0]
-        cold = use[y[text[use]] == 0]
+        cold = np.flatnonzero(y[text] == 0)
         for _ in range(steps):
             pick = np.r_[r.choice(hot, batch // 3), r.choice(cold_best, batch // 3), r.choice(cold, batch - 2 * (batch // 3))]
-            n = int(length[pick].min())
-            words_ = (at[pick][None, :] + np.arange(n)[:, None])
-            flat = words_.T.ravel()
+            live = step < length[pick][None, :]
+            flat = np.where(live, at[pick][None, :] + step, at[pick][None, :]).ravel()  # what is not live reads the first word
             sz = size[flat]
             bytes_ = np.repeat(starts[flat] - (np.cumsum(sz) - sz), sz) + np.arange(int(sz.sum()))
-            local = np.arange(n * len(pick)).reshape(len(pick), n).T
-            grads = net.gradients(rows[flat], gram[bytes_], np.cumsum(sz) - sz, local, y[text[pick]])
+            local = np.arange(live.size).reshape(live.shape)
+            grads = net.gradients(rows[flat], gram[bytes_], np.cumsum(sz) - sz, local, y[text[pick]], None if live.all() else live)
             t += 1
             rate = 0.02 if turn < rounds - 1 else 0.006
             for k, g in grads.items():
@@ -272,8 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, max_texts: int = M
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with ``_toxicity`` added; the text column is ``text``."""
-    spark = docs.sparkSession
+    """docs with ``_toxicity`` added (in place of a column of that name); the text column is ``text``."""
+    spark, docs = docs.sparkSession, docs.drop("_toxicity")
     base.ship(spark)
     sent = spark.sparkContext.broadcast(net)
 

@@ -6,14 +6,20 @@ wins, and of equally long ones an allow. A url without a rule takes the
 method's verdict: redirect and canonical-link edges join urls to components,
 and a component with a blocked url and no explicitly allowed one is blocked;
 everything else is allowed. A url is a node by host, path and query, without
-scheme and fragment.
+scheme and fragment; an empty path is a node of its own.
 
 Null urls, and urls without ``://``, have an empty host and path; no rule and
-no edge touches them. Repeated rows get a row each.
+no edge touches them. Repeated rows get a row each. Rules are a list (at most
+``MAX_RULES``, else an error); a very long url is a string like any other.
 """
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +42,7 @@ def host_path(df: DataFrame, url: str) -> DataFrame:
 def node() -> Column:
     """Name of the url in _rest, _host and _path as a node; null without host."""
     query = F.regexp_extract("_rest", r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(F.col("_host") != "", F.concat("_host", F.when(F.col("_path") == "", "/").otherwise(F.col("_path")), query))
+    return F.when(F.col("_host") != "", F.concat("_host", F.lit("//"), "_path", query))  # a host holds no slash
 
 
 def ruled(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -59,13 +65,27 @@ def ruled(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.withColumn("_rule", F.col("_best.rule")).withColumn("_verdict", F.when(F.col("_best.ok"), "allow").when(~F.col("_best.ok"), "block")).drop("_best")
 
 
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst): targets with entities decoded, resolved against the page's url; what is no url leads nowhere."""
+    for batch in batches:
+        src, dst = [], []
+        for url, to in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+            try:
+                dst.append(urljoin(url, html.unescape(to).strip()))
+                src.append(url)
+            except ValueError:  # such as an unbalanced bracket in the host
+                continue
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["src", "dst"])
+
+
 def html_edges(pages: DataFrame) -> DataFrame:
-    """(src url, dst url) of canonical links and of refresh redirects in ``html``; relative targets stay on the host."""
+    """(src url, dst url) of canonical links and of refresh redirects in ``html``; only pages that hold one go to Python."""
+    base.ship(pages.sparkSession)
     tag = r"(?is)<(?:link\b[^>]*\brel\s*=\s*[\"']?canonical\b|meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>"
-    target = r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*'?)([^\"'>\s]+)"
-    p = host_path(pages.select("url", "html").where("url IS NOT NULL AND html IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))"), "url")
-    t = p.select("url", "_host", F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tag")).withColumn("to", F.regexp_extract("tag", target, 1))
-    return t.where("to <> ''").select(F.col("url").alias("src"), F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), "to")).otherwise(F.concat(F.lit("x://"), "_host", F.when(F.startswith("to", F.lit("/")), "").otherwise("/"), "to")).alias("dst"))
+    target = r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*[\"']?)([^\"'>\s]+)"
+    p = pages.select("url", "html").where("url IS NOT NULL AND html IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))")
+    t = p.select("url", F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tag")).select("url", F.regexp_extract("tag", target, 1).alias("to"))
+    return t.where("to <> ''").mapInArrow(_resolve, "src string, dst string")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -77,7 +97,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
         e = base.materialize(e.distinct())
         labels = connected_components(e, "n_src", "n_dst")
         # every end of an edge is judged, whether it is a row of pages or not
-        named = ruled(labels.withColumn("_host", F.substring_index("node", "/", 1)).withColumn("_path", F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)), rules)
+        named = ruled(labels.withColumn("_host", F.substring_index("node", "/", 1)).withColumn("_path", F.regexp_extract("node", r"^[^/]*//([^?#]*)", 1)), rules)
         said = named.groupBy("component").agg(F.max(F.when(F.col("_verdict") == "block", 1).otherwise(0)).alias("b"), F.max(F.when(F.col("_verdict") == "allow", 1).otherwise(0)).alias("a"))
         blocked = base.materialize(labels.join(said.where("b = 1 AND a = 0"), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias")))
         p = p.join(base.small(blocked, (blocked.agg(F.sum(F.length("_node") + 64)).first()[0] or 0)), "_node", "left")

@@ -30,6 +30,56 @@ def test_edited_matches_brute_force(spark):
     assert one.near_next == 1.0
 
 
+M = (1 << 64) - 1
+
+
+def slow_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def slow_name(xs):
+    """Hash of a phrase, from its definition."""
+    b = 0x9E3779B97F4A7C15 | 3
+    return slow_mix((sum(x * pow(b, i, 1 << 64) for i, x in enumerate(xs)) + len(xs) * 0xD6E8FEB86659FD93) & M)
+
+
+def slow_parse(x):
+    """One level, symbol by symbol: runs, four tosses, local maxima."""
+    runs = []
+    for v in x:
+        if runs and runs[-1][0] == v:
+            runs[-1][1] += 1
+        else:
+            runs.append([v, 1])
+    x = [v if k == 1 else slow_mix((v ^ (k * 0xA0761D6478BD642F)) & M) for v, k in runs]
+    lab = [v & 0xFFFFFFFF for v in x]
+    for bits in (32, 8, 8, 8):
+        out = []
+        for i, v in enumerate(lab):
+            d = v ^ lab[i - 1] if i else v
+            at = min((d & -d).bit_length() - 1 if d else bits, bits - 1)
+            out.append((2 * at + (v >> at & 1)) & 0xFF)
+        lab = out
+    cuts = [i for i in range(len(x)) if i == 0 or (lab[i] >= lab[i - 1] and i + 1 < len(x) and lab[i] > lab[i + 1])]
+    return [slow_name(x[a:b]) for a, b in zip(cuts, cuts[1:] + [len(x)])]
+
+
+def test_parsing_matches_a_slow_parser():
+    r = random.Random(11)
+    texts = ["", "x", "xx", "xyx", "aaaa bbbb", "é😀é😀"] + ["".join(r.choice("etaoin shr\né") for _ in range(r.randint(1, 260))) for _ in range(60)]
+    for t, got in zip(texts, fp.prints(texts)):
+        x, names = [ord(c) for c in t], set()
+        for level in range(3):
+            x = slow_parse(x)
+            if level:
+                names |= {slow_mix(v ^ level) >> 32 for v in x}
+        assert got.tolist() == sorted(names)[: fp.K]
+
+
 def test_equal_substrings_share_phrases_at_any_offset():
     r = random.Random(2)
     word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9)))

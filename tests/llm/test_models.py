@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import crf, mixing, piecefst, toxicity
 
@@ -30,6 +31,11 @@ def test_languages(spark):
     truth = {d: x for d, _, x in rows}
     assert np.mean([got[d].lang_pred == truth[d] for d in held]) > 0.95
     assert crf.identify(df.where("doc_id > 2000")).count() == 0
+    assert crf.fit(df, F.lit(True), max_rows=3).langs == ["de", "en", "fr"]  # every language, whatever the bound
+    with pytest.raises(ValueError):
+        crf.fit(df, F.lit(True), max_rows=2)
+    long = df.where("doc_id = 3").withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 3000))
+    assert {x.lang_pred for x in crf.predict(long.unionAll(long), crf.fit(df, F.lit(True))).collect()} == {rows[3][2]}
     none = df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
     assert {r.lang_pred for r in crf.identify(none).collect()} == {"und"}
 
@@ -85,6 +91,59 @@ def test_toxicity(spark):
     assert np.mean([got[i].predicted == y for i, y in labels if i in set(held)]) > 0.9
     assert all(0 <= x.score <= 1 for x in got.values())
     assert {x.score for x in toxicity.judge(docs, lab.where("toxic = 1")).collect()} == {0.0}
+    assert toxicity.judge(docs.where("false"), lab).count() == 0
+    twice = toxicity.score(docs.unionAll(docs).withColumn("_toxicity", F.lit("x")), None)
+    assert twice.count() == 2 * len(rows) and twice.columns.count("_toxicity") == 1
+
+
+def test_toxicity_of_short_wordless_and_long_texts():
+    r = random.Random(6)
+    clean = [" ".join(words(r, "en", r.choice([3, 40]))) for _ in range(60)]
+    toxic = [" ".join(words(r, "en", 3) + ["vilex"] + words(r, "en", 2)) for _ in range(60)]  # all shorter than a window
+    net = toxicity.train(clean + toxic, [0] * 60 + [1] * 60)
+    texts = [" ".join(words(r, "en", 4) + ["vilex"]), " ".join(words(r, "en", 5)), " ".join(words(r, "en", 70000) + ["vilex"]), "", "?!"]
+    raw = [t.encode() for t in texts]
+    p = toxicity.score_texts(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert p[0] > 0.7 > p[1] and p[2] > 0.7 and p[3] == p[4] == 0
+    assert toxicity.train(["?", "", "!"], [0, 1, 1]) is None and toxicity.train(["word", "!!"], [0, 1]) is None
+
+
+def brute_score(net, text):
+    """A text's score word by word, in plain loops."""
+    w = [x for x in "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in text).split()]
+    data, best = text.encode(), 0.0
+    word, gram, starts, first = toxicity.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    vec = net.inputs(net.rows(word), gram, starts)
+    assert len(w) == len(vec)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h_ = toxicity.HIDDEN
+
+    def run(xs, k):
+        h, out = np.zeros(h_), []
+        for x in xs:
+            g, u = x @ net.w["w" + k] + net.w["b" + k], h @ net.w["u" + k]
+            z, q = sig(g[:h_] + u[:h_]), sig(g[h_ : 2 * h_] + u[h_ : 2 * h_])
+            c = np.tanh(g[2 * h_ :] + q * u[2 * h_ :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    last = max(len(vec) - toxicity.WINDOW, 0)
+    for at in sorted({*range(0, last, toxicity.STRIDE), last}) if len(vec) else []:
+        xs = vec[at : at + toxicity.WINDOW]
+        s = [np.concatenate(p) for p in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])]
+        e = np.exp([v @ net.w["att"] for v in s])
+        best = max(best, float(sig((e / e.sum()) @ np.array(s) @ net.w["out"] + net.w["bias"])[0]))
+    return best
+
+
+def test_toxicity_scores_match_plain_loops():
+    r = random.Random(7)
+    net = toxicity.Network(np.sort(np.random.default_rng(3).integers(1, 1 << 62, 40).astype(np.uint64)))
+    texts = ["", "One", " ".join(words(r, "de", 31)), " ".join(words(r, "fr", 75)), "a-b, c!" * 9]
+    raw = [t.encode() for t in texts]
+    got = toxicity.score_texts(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert got == pytest.approx([brute_score(net, t) for t in texts], abs=1e-4)
 
 
 def test_toxicity_gradients_and_windows():
@@ -139,6 +198,11 @@ def test_mixing_reaches_the_targets(spark):
     assert len(m) == 203 and all(x._rate >= 0 and abs(sum(x._p) - 1) < 1e-9 for x in m)
     for k, share in ((0, 0.1), (1, 0.9)):
         assert sum(x._rate * x._tokens * x._p[k] for x in m) / n == pytest.approx(share, abs=0.002)
+    capped = mixing.mix(docs.withColumn("_rate", F.lit(5)).withColumn("_p", F.lit("x")), labels, "quality", {1: 0.9, 0: 0.1}, most=1.0).collect()
+    got = [sum(x._rate * x._tokens * x._p[k] for x in capped) for k in (0, 1)]
+    assert got[1] / sum(got) == pytest.approx(0.9, abs=0.01) and max(x._rate for x in capped) <= 1 and got[1] > 0.97 * sum(x._tokens * x._p[1] for x in capped)
+    few = mixing.mix(docs, labels, "quality", {1: 0.5, 0: 0.5}, most=1.0).collect()  # the second domain gives what it has
+    assert min(x._rate for x in few if x._tokens) > 0.97
     assert mixing.mix(docs.where("false"), labels, "quality", {1: 1.0}).count() == 0
     assert {x._rate for x in mixing.mix(docs, labels.where("quality = 1"), "quality", {1: 1.0}).collect()} == {1.0}
 
@@ -167,6 +231,7 @@ def test_pieces_round_trip(spark):
     enc = piecefst.encode(docs)
     back = {r.doc_id: r.text for r in piecefst.decode(enc).collect()}
     assert back == {**dict(enumerate(TEXTS)), 99: None}
+    assert piecefst.encode(docs.where("false")).count() == 0 and piecefst.encode(docs.unionAll(docs)).count() == 2 * docs.count()
     d = {r.doc_id: r for r in piecefst.digests(docs).collect()}
     assert d[99].n_tokens == 0 and d[99].round_trip is None and all(d[i].round_trip for i in range(len(TEXTS)))
 

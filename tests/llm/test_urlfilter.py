@@ -22,7 +22,7 @@ def node(u):
     if not h:
         return None
     rest = u.split("://", 1)[1].split("#")[0]
-    return h + (p or "/") + ("?" + rest.split("?", 1)[1] if "?" in rest else "")
+    return h + "//" + p + ("?" + rest.split("?", 1)[1] if "?" in rest else "")
 
 
 def brute(urls, edges):
@@ -39,8 +39,8 @@ def brute(urls, edges):
             up[root(node(a))] = root(node(b))
     said = {}
     for n in list(up):
-        h, rest = n.split("/", 1)
-        said.setdefault(root(n), set()).add(rule_of(h, "/" + rest.split("?")[0])[1])
+        h, rest = n.split("//", 1)
+        said.setdefault(root(n), set()).add(rule_of(h, rest.split("?")[0])[1])
     out = []
     for u in urls:
         h, p = host_path(u)
@@ -68,7 +68,14 @@ def test_matches_brute_force(spark):
 
 
 def test_edges_of_pages(spark):
-    html = ["<link rel='canonical' href=\"http://z.net/a\">", '<META HTTP-EQUIV="refresh" content="0; URL=/next">', '<link href=rel.html rel=canonical><link rel="icon" href="/i">', None, "refresh"]
-    pages = spark.createDataFrame([(f"http://p{i}.com/x", h) for i, h in enumerate(html)], "url string, html string")
-    got = {(r.src, r.dst) for r in urlfilter.html_edges(pages).collect()}
-    assert got == {("http://p0.com/x", "http://z.net/a"), ("http://p1.com/x", "x://p1.com/next"), ("http://p2.com/x", "x://p2.com/rel.html")}
+    html = ["<link rel='canonical' href=\"http://z.net/a\">", '<META HTTP-EQUIV="refresh" content="0; URL=/next">', '<link href=rel.html rel=canonical><link rel="icon" href="/i">', None, "refresh", "<link rel=canonical href='../z?a=1&amp;b=2'>", "<link rel=canonical href='//q.org/x'>", "<link rel=canonical href='http://[bad'>"]
+    pages = spark.createDataFrame([(f"http://p{i}.com/a/b/c.html", h) for i, h in enumerate(html)], "url string, html string")
+    got = {(r.src.split("/")[2], r.dst) for r in urlfilter.html_edges(pages).collect()}
+    assert got == {("p0.com", "http://z.net/a"), ("p1.com", "http://p1.com/next"), ("p2.com", "http://p2.com/a/b/rel.html"), ("p5.com", "http://p5.com/a/z?a=1&b=2"), ("p6.com", "http://q.org/x")}
+    assert urlfilter.html_edges(pages.where("false")).count() == 0
+
+
+def test_a_bare_host_is_not_its_root_page(spark):
+    pages = spark.createDataFrame([(1, "http://a.net"), (2, "http://a.net/")], "page_id long, url string")
+    edges = spark.createDataFrame([("http://a.net/", "http://b.com/")], "src string, dst string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, URL_RULES, edges).collect()} == {1: (None, "allow"), 2: ("net/", "block")}
