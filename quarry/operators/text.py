@@ -5,6 +5,7 @@ Word tokens are maximal runs of letters, marks, digits and underscore, lower-cas
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,19 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 SENTENCE = r"[^.!?]+[.!?]"
 
-# The sentiment lexicon, negators, intensifiers and diminishers.
-POSITIVE = {"good": 1.0, "great": 2.0, "excellent": 3.0, "amazing": 3.0, "wonderful": 3.0, "fantastic": 3.0, "love": 2.0, "like": 1.0, "happy": 2.0, "joy": 2.0, "pleased": 1.5, "satisfied": 1.5, "positive": 1.0, "perfect": 3.0, "best": 2.5, "better": 1.0, "awesome": 2.5, "brilliant": 2.5, "superb": 3.0, "delightful": 2.5}
-NEGATIVE = {"bad": -1.0, "terrible": -3.0, "awful": -3.0, "horrible": -3.0, "hate": -2.5, "dislike": -1.5, "sad": -2.0, "angry": -2.0, "disappointed": -2.0, "frustrated": -1.5, "negative": -1.0, "worst": -3.0, "worse": -2.0, "poor": -1.5, "inadequate": -1.5, "unhappy": -2.0, "miserable": -2.5, "disgusting": -3.0, "pathetic": -2.5, "useless": -2.0}
-NEGATORS = ["not", "no", "never", "neither", "nobody", "nothing", "nowhere", "hardly", "barely", "scarcely"]
+# The basic sentiment lexicon.
+POSITIVE = {
+    "good": 1.0, "great": 2.0, "excellent": 3.0, "amazing": 3.0, "wonderful": 2.5, "fantastic": 2.5, "love": 2.0, "like": 1.0, "happy": 2.0, "joy": 2.0,
+    "pleased": 1.5, "satisfied": 1.0, "positive": 1.0, "perfect": 3.0, "best": 2.5, "awesome": 2.5, "beautiful": 2.0, "brilliant": 2.5, "superb": 2.5, "nice": 1.0,
+}
+NEGATIVE = {
+    "bad": -1.0, "terrible": -2.5, "awful": -2.5, "horrible": -3.0, "hate": -2.5, "dislike": -1.5, "sad": -2.0, "unhappy": -2.0, "disappointed": -2.0, "negative": -1.0,
+    "worst": -3.0, "poor": -1.5, "disgusting": -3.0, "ugly": -2.0, "nasty": -2.5, "stupid": -2.0, "pathetic": -2.5, "failure": -2.0, "fail": -2.0, "sucks": -2.0,
+}
+# Words that turn the sign, and factors of words that strengthen or weaken what follows.
+NEGATORS = ["not", "no", "never", "neither", "nobody", "nothing", "nowhere", "n't", "cannot", "without"]
+INTENSIFIERS = {"very": 1.5, "extremely": 2.0, "incredibly": 2.0, "really": 1.3, "so": 1.3, "absolutely": 2.0}
+DIMINISHERS = {"somewhat": 0.5, "slightly": 0.5, "barely": 0.3, "hardly": 0.3, "a little": 0.5}
 
 
 def words(text, lower: bool = True) -> Column:
@@ -153,18 +163,36 @@ def readability(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     )
 
 
+def _lookup(table: dict[str, float]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+
+
+def _tally(df: DataFrame, keep: list[str], value) -> DataFrame:
+    b = df.withColumn("_v", F.filter(F.transform("_w", value), lambda v: v.isNotNull()))
+    return b.select(*keep, F.aggregate("_v", F.lit(0.0), lambda a, x: a + x).alias("score"), F.size("_v").alias("n_sentiment"), F.coalesce(F.try_divide(F.size("_v"), F.size("_w")), F.lit(0.0)).alias("confidence"))
+
+
 def sentiment(df: DataFrame, text: str, keep: list[str], negation_window: int = 3) -> DataFrame:
     """(score, n_sentiment, confidence): lexicon scores, the sign turned if a negator stands in the words before."""
-    lex = F.create_map(*(F.lit(x) for kv in {**POSITIVE, **NEGATIVE}.items() for x in kv))
-    b = df.select(*keep, words(text).alias("_w"))
+    lex = _lookup({**POSITIVE, **NEGATIVE})
 
     def value(w: Column, i: Column) -> Column:
         before = F.slice(F.col("_w"), F.greatest(i + 1 - negation_window, F.lit(1)), F.least(i, F.lit(negation_window)))
         v = F.try_element_at(lex, w)
         return F.when(v.isNull(), F.lit(None)).when(F.exists(before, lambda x: x.isin(NEGATORS)), -v).otherwise(v)
 
-    b = b.withColumn("_v", F.filter(F.transform("_w", value), lambda v: v.isNotNull()))
-    return b.select(*keep, F.aggregate("_v", F.lit(0.0), lambda a, x: a + x).alias("score"), F.size("_v").alias("n_sentiment"), F.coalesce(F.try_divide(F.size("_v"), F.size("_w")), F.lit(0.0)).alias("confidence"))
+    return _tally(df.select(*keep, words(text).alias("_w")), keep, value)
+
+
+def rule_sentiment(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(score, n_sentiment, confidence): lexicon scores times the factor of the nearest intensifier or diminisher among the two words before."""
+    lex, factor = _lookup({**POSITIVE, **NEGATIVE}), _lookup({**INTENSIFIERS, **DIMINISHERS})
+
+    def value(w: Column, i: Column) -> Column:
+        near = (F.try_element_at(factor, F.get(F.col("_w"), i - j)) for j in (1, 2))
+        return F.try_element_at(lex, w) * F.coalesce(*near, F.lit(1.0))
+
+    return _tally(df.select(*keep, words(text).alias("_w")), keep, value)
 
 
 def npmi_coherence(df: DataFrame, id_col: str, tokens: Column, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -190,50 +218,195 @@ def bigram_model(df: DataFrame, tokens: Column) -> DataFrame:
     return big.join(ctx, "a").crossJoin(F.broadcast(v)).select("a", "b", "n", ((F.col("n") + 1) / (F.col("_c") + F.col("_v"))).alias("prob"))  # v: one row
 
 
-def lead_summary(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(id, summary): the k sentences with the highest mean inverse frequency of their words, in their order (ties: earlier)."""
-    s = df.select(id_col, F.posexplode(sentences(text)).alias("pos", "s"))
-    terms = s.select(id_col, "pos", F.explode(words("s")).alias("t"))
-    tf = terms.groupBy(id_col, "t").agg(F.count("*").alias("c"))
-    score = terms.join(tf, [id_col, "t"]).groupBy(id_col, "pos").agg(F.avg("c").alias("score"))
+def _best_sentences(s: DataFrame, score: DataFrame, id_col: str, k: int) -> DataFrame:
+    """(id, summary): the k sentences s(id, pos, s) of the greatest score(id, pos, score) in their order (ties: earlier)."""
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "pos")
     top = score.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).join(s, [id_col, "pos"])
     return top.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("summary"))
 
 
-def jaro_winkler(a: str, b: str, prefix_weight: float = 0.1) -> float:
-    """Jaro-Winkler similarity of two strings (kernel of :func:`jaro_winkler_column`)."""
-    if a == b:
-        return 1.0
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0
-    reach = max(0, max(n, m) // 2 - 1)
-    used, hits = [False] * m, []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
-    if not hits:
-        return 0.0
-    k = len(hits)
-    swaps = sum(x != y for x, y in zip(hits, (b[j] for j in range(m) if used[j]))) / 2
-    jaro = (k / n + k / m + (k - swaps) / k) / 3
-    same = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        same += 1
-    return jaro + prefix_weight * same * (1 - jaro)
-
-
-def jaro_winkler_column(a, b) -> Column:
-    """Jaro-Winkler through an Arrow-batched UDF: no built-in expression has it."""
-
-    @F.pandas_udf("double")
-    def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y)], dtype="float64")
-
-    return f(a, b)
+def _sentences_of(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences (id, pos, s) and their terms (id, pos, t)."""
+    s = df.select(id_col, F.posexplode(sentences(text)).alias("pos", "s"))
+    return s, s.select(id_col, "pos", F.explode(words("s")).alias("t"))
+
+
+def lead_summary(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """(id, summary): the k sentences whose words are on average most frequent in the text, in their order (ties: earlier)."""
+    s, terms = _sentences_of(df, id_col, text)
+    tf = terms.groupBy(id_col, "t").agg(F.count("*").alias("c"))
+    score = terms.join(tf, [id_col, "t"]).groupBy(id_col, "pos").agg(F.round(F.avg("c"), 9).alias("score"))
+    return _best_sentences(s, score, id_col, k)
+
+
+def _sentence_vectors(terms: DataFrame, id_col: str) -> DataFrame:
+    """(id, pos, t, w): tf-idf of the words of each sentence among the sentences of its text, L2-normalised."""
+    tf = terms.groupBy(id_col, "pos", "t").agg(F.count("*").alias("tf"))
+    n = tf.groupBy(id_col).agg(F.count_distinct("pos").alias("n"))
+    df_ = tf.groupBy(id_col, "t").agg(F.count("*").alias("df"))
+    v = tf.join(df_, [id_col, "t"]).join(n, id_col).withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
+    norm = v.groupBy(id_col, "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return v.join(norm, [id_col, "pos"]).select(id_col, "pos", "t", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def centroid_summary(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """(id, summary): the k sentences closest (cosine of tf-idf) to the mean sentence of their text, in their order (ties: earlier)."""
+    s, terms = _sentences_of(df, id_col, text)
+    v = _sentence_vectors(terms, id_col)
+    centre = v.groupBy(id_col, "t").agg(F.sum("w").alias("c"))
+    size = centre.groupBy(id_col).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    score = v.join(centre, [id_col, "t"]).groupBy(id_col, "pos").agg(F.sum(F.col("w") * F.col("c")).alias("d")).join(size, id_col).select(id_col, "pos", F.round(F.col("d") / F.col("norm"), 9).alias("score"))
+    return _best_sentences(s, score, id_col, k)
+
+
+def textrank_summary(df: DataFrame, id_col: str, text: str, k: int, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """(id, summary): the k sentences of the greatest rank in the graph of cosine similarities between a text's sentences.
+
+    Similarities come from shared words (no pair without one), and each text's ranks are iterated inside its row: the
+    state is the sentences of one text.
+    """
+    s, terms = _sentences_of(df, id_col, text)
+    v = _sentence_vectors(terms, id_col)
+    a, b = (v.select(id_col, "t", F.col("pos").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
+    sim = a.join(b, [id_col, "t"]).where("a <> b").groupBy(id_col, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
+    out = sim.groupBy(id_col, F.col("a").alias("x")).agg(F.sum("w").alias("total"))
+    edges = sim.join(out.withColumnRenamed("x", "a"), [id_col, "a"]).select(id_col, "a", "b", (F.col("w") / F.col("total")).alias("p"))
+    into = edges.groupBy(id_col, "b").agg(F.collect_list(F.struct("a", "p")).alias("into"))  # the sentences of one text
+    m = s.select(id_col, F.col("pos").alias("b")).join(into, [id_col, "b"], "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("b", "into"))).alias("rows"))
+    n = F.size("rows")
+    none = F.array().cast("array<struct<a:int,p:double>>")
+    step = lambda r: F.transform("rows", lambda x: (F.lit(1 - damping) / n) + damping * F.aggregate(F.coalesce(x["into"], none), F.lit(0.0), lambda t, e: t + e["p"] * F.get(r, e["a"])))
+    rank = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("rows", lambda _: F.lit(1.0) / n), lambda r, _: step(r))
+    score = m.withColumn("rank", rank).select(id_col, F.posexplode("rank").alias("pos", "score")).withColumn("score", F.round("score", 9))
+    return _best_sentences(s, score, id_col, k)
+
+
+def keywords(df: DataFrame, id_col: str, tokens: Column, k: int) -> DataFrame:
+    """(id, rank, term, weight): the k terms of the greatest tf-idf of each text (ties: the smaller term)."""
+    tf = df.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    n = df.agg(F.count("*").alias("n"))
+    df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
+    v = tf.join(df_, "term").crossJoin(F.broadcast(n)).select(id_col, "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 8).alias("weight"))  # n: one row
+    w = Window.partitionBy(id_col).orderBy(F.desc("weight"), "term")
+    return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(id_col, "rank", "term", "weight")
+
+
+def most_frequent_terms(df: DataFrame, id_col: str, tokens: Column, k: int) -> DataFrame:
+    """(term, df): the k terms that the most texts hold (ties: the smaller term): a vocabulary of bounded size."""
+    return df.select(id_col, F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(k)
+
+
+def language_profiles(df: DataFrame, lang: str, text: str, k: int = 300) -> DataFrame:
+    """(lang, gram, rank): the k most frequent character trigrams of each language's texts (ties: the smaller gram), rank from 0."""
+    g = df.select(F.col(lang).alias("lang"), F.explode(char_ngrams(F.lower(F.col(text)), 3)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    return g.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("lang", "gram", "rank")
+
+
+def detect_language(df: DataFrame, id_col: str, text: str, profiles: DataFrame, k: int = 300) -> DataFrame:
+    """(id, lang, distance): the profile of the least out-of-place distance to the text's own ranking of trigrams (ties: the smaller name).
+
+    A trigram that a profile lacks counts k. ``profiles`` has k rows a language, a bounded size.
+    """
+    own = df.select(id_col, F.explode(char_ngrams(F.lower(F.col(text)), 3)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(id_col).orderBy(F.desc("n"), "gram")
+    own = own.withColumn("r", F.row_number().over(w) - 1).where(F.col("r") < k)
+    size = own.groupBy(id_col).agg(F.count("*").alias("m"))
+    met = own.join(F.broadcast(profiles), "gram").groupBy(id_col, "lang").agg(F.sum(F.abs(F.col("r") - F.col("rank")) - k).alias("less"))
+    langs = profiles.select("lang").distinct()
+    every = size.join(F.broadcast(langs), F.lit(True)).join(met, [id_col, "lang"], "left")  # langs: a row a language
+    d = every.select(id_col, "lang", (F.col("m") * k + F.coalesce("less", F.lit(0))).alias("distance"))
+    return d.groupBy(id_col).agg(F.min(F.struct("distance", "lang")).alias("x")).select(id_col, "x.lang", "x.distance")
+
+
+def jaro(a, b) -> Column:
+    """Jaro similarity by array expressions: each character of a takes the first free equal one of b within reach."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    n, m = F.length(a), F.length(b)
+    reach = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
+    taken = F.lit("\x00")  # no text holds it
+
+    def take(s: Column, i: Column) -> Column:
+        lo = F.greatest(i - reach, F.lit(1))
+        c = F.substr(a, i, F.lit(1))
+        p = F.position(c, F.substr(s["rest"], lo, F.least(m, i + reach) - lo + 1))
+        hit = (p > 0) & (lo <= m)
+        return F.struct(F.when(hit, F.overlay(s["rest"], taken, (lo + p - 1), F.lit(1))).otherwise(s["rest"]).alias("rest"), F.when(hit, F.concat(s["hits"], c)).otherwise(s["hits"]).alias("hits"))
+
+    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    done = F.aggregate(steps, F.struct(b.alias("rest"), F.lit("").alias("hits")), take)
+    spots = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    met = F.filter(spots, lambda j: F.substr(done["rest"], j, F.lit(1)) == taken)
+    k = F.length(done["hits"])
+    swaps = F.size(F.filter(F.transform(met, lambda j, i: F.substr(b, j, F.lit(1)) != F.substr(done["hits"], i + 1, F.lit(1))), lambda x: x)) / 2
+    return F.when(a == b, 1.0).when((n == 0) | (m == 0) | (k == 0), 0.0).otherwise((k / n + k / m + (k - swaps) / k) / 3)
+
+
+def jaro_winkler(a, b, prefix_weight: float = 0.1) -> Column:
+    """Jaro similarity raised by up to four equal first characters; null if a side is null."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    j = jaro(a, b)
+    same = F.lit(0)
+    for i in range(4, 0, -1):
+        both = (F.length(a) >= i) & (F.length(b) >= i)
+        same = F.when(both & (F.substr(a, F.lit(1), F.lit(i)) == F.substr(b, F.lit(1), F.lit(i))), F.greatest(same, F.lit(i))).otherwise(same)
+    return j + prefix_weight * same * (1 - j)
+
+
+def _edit_table(costs: tuple[float, float, float, float], transpose: bool):
+    insert, delete, substitute, swap = costs
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        """All pairs of a batch at once: one cell of the table is one numpy operation over the pairs."""
+        out = np.full(len(x), np.nan)
+        some = np.flatnonzero((x.notna() & y.notna()).to_numpy())
+        order = sorted(some, key=lambda i: (len(x.iat[i]), len(y.iat[i])))
+        for at in range(0, len(order), 256):
+            part = order[at : at + 256]
+            a, b = ([np.array([ord(c) for c in s.iat[i]], np.int64) for i in part] for s in (x, y))
+            n, m = np.array([len(v) for v in a]), np.array([len(v) for v in b])
+            pad = lambda vs, fill: np.stack([np.r_[v, np.full(max(map(len, vs)) - len(v), fill)] for v in vs])
+            p, q = pad(a, -1), pad(b, -2)
+            rows = [np.tile(np.arange(q.shape[1] + 1) * insert, (len(part), 1)).astype(float)]
+            last = rows[0][np.arange(len(part)), m].copy()
+            for i in range(1, p.shape[1] + 1):
+                row = np.empty_like(rows[0])
+                row[:, 0] = i * delete
+                for j in range(1, q.shape[1] + 1):
+                    same = p[:, i - 1] == q[:, j - 1]
+                    v = np.minimum(np.minimum(rows[-1][:, j] + delete, row[:, j - 1] + insert), rows[-1][:, j - 1] + np.where(same, 0.0, substitute))
+                    if transpose and i > 1 and j > 1:
+                        cross = (p[:, i - 1] == q[:, j - 2]) & (p[:, i - 2] == q[:, j - 1])
+                        v = np.where(cross, np.minimum(v, rows[-2][:, j - 2] + swap), v)
+                    row[:, j] = v
+                rows = [rows[-1], row]
+                last = np.where(n == i, row[np.arange(len(part)), m], last)
+            out[part] = last
+        return pd.Series(out).where(pd.Series(out).notna(), None).astype("float64")
+
+    return run
+
+
+def weighted_levenshtein(a, b, insert: float = 1.0, delete: float = 1.0, substitute: float = 1.0) -> Column:
+    """Edit distance with costs of operations (an Arrow-batched function: no built-in one has costs); null if a side is null."""
+    return F.pandas_udf(_edit_table((insert, delete, substitute, 0.0), False), "double")(a, b)
+
+
+def weighted_damerau(a, b, insert: float = 1.0, delete: float = 1.0, substitute: float = 1.0, transpose: float = 1.0) -> Column:
+    """Edit distance with costs, where neighbours may change places (no text between them edited twice)."""
+    return F.pandas_udf(_edit_table((insert, delete, substitute, transpose), True), "double")(a, b)
+
+
+def topic_diversity(topics: DataFrame, id_col: str, words_col: str) -> DataFrame:
+    """(diversity): share of distinct words among all words of the topics."""
+    t = topics.select(F.explode(words_col).alias("w"))
+    return t.agg(F.try_divide(F.count_distinct("w"), F.count("*")).alias("diversity"))
+
+
+def topic_distances(topics: DataFrame, id_col: str, words_col: str) -> DataFrame:
+    """(a, b, distance): Jaccard distance of the words of two topics (a < b); topics are few by nature and meet by shared words."""
+    sets = topics.select(F.col(id_col).alias("id"), F.array_distinct(words_col).alias("w"))
+    e = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("w"))
+    x, y = (e.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), "w") for c in "ab")
+    met = x.join(y, "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    return met.select("a", "b", (1 - F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("distance"))

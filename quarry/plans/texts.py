@@ -103,9 +103,34 @@ def text_readability(spark, d):
     return r.select(*(F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes))
 
 
-@register("text_sentiment")
+def _map(table):
+    return "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in table.items()).replace("'n't'", "'n''t'") + "}"
+
+
+_LEX = _map({**text.POSITIVE, **text.NEGATIVE})
+_TURN = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in text.NEGATORS) + "]"
+_SAID = "SELECT conv_id, turn, round(list_sum(list_concat([0.0::DOUBLE], v)), 6) AS score, CAST(len(v) AS INTEGER) AS n_sentiment, round(CASE WHEN len(w) > 0 THEN len(v) / len(w)::DOUBLE ELSE 0 END, 6) AS confidence FROM v"
+
+
+def _spiced(spark, d):
+    """The conversations, with some sentiment words put among their words: the invented prose has few."""
+    spice = F.element_at(F.array(*map(F.lit, [" good", " not very bad", " so nice a fail", " without a love", " the", " really never sad", " slightly ugly"])), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)).cast("int") + 1)
+    return read(spark, d, "conversations").withColumn("text", F.concat("text", spice))
+
+
+_SPICED = "(SELECT conv_id, turn, text || [' good', ' not very bad', ' so nice a fail', ' without a love', ' the', ' really never sad', ' slightly ugly'][(conv_id + turn) % 7 + 1] AS text FROM conversations)"
+
+
+@register("text_sentiment", f"""WITH t AS (SELECT conv_id, turn, {_WORDS} AS w FROM {_SPICED}),
+ v AS (SELECT *, list_filter(list_transform(range(1, len(w) + 1), lambda i: {_LEX}[w[i]] * CASE WHEN list_has_any(w[greatest(i - 3, 1):i - 1], {_TURN}) THEN -1 ELSE 1 END), lambda x: x IS NOT NULL) AS v FROM t) {_SAID}""")
 def text_sentiment(spark, d):
-    return text.sentiment(read(spark, d, "conversations"), "text", ["conv_id", "turn"])
+    return text.sentiment(_spiced(spark, d), "text", ["conv_id", "turn"]).withColumns({c: F.round(c, 6) for c in ("score", "confidence")})
+
+
+@register("text_rule_sentiment", f"""WITH t AS (SELECT conv_id, turn, {_WORDS} AS w FROM {_SPICED}),
+ v AS (SELECT *, list_filter(list_transform(range(1, len(w) + 1), lambda i: {_LEX}[w[i]] * coalesce({_map({**text.INTENSIFIERS, **text.DIMINISHERS})}[CASE WHEN i > 1 THEN w[i - 1] END], {_map({**text.INTENSIFIERS, **text.DIMINISHERS})}[CASE WHEN i > 2 THEN w[i - 2] END], 1)), lambda x: x IS NOT NULL) AS v FROM t) {_SAID}""")
+def text_rule_sentiment(spark, d):
+    return text.rule_sentiment(_spiced(spark, d), "text", ["conv_id", "turn"]).withColumns({c: F.round(c, 6) for c in ("score", "confidence")})
 
 
 @register("text_npmi", f"""WITH t AS (SELECT {_WORDS} AS w FROM documents), f AS (SELECT list_contains(w, 'the') AS a, list_contains(w, 'and') AS b, list_contains(w, 'idiot') AS c FROM t),
@@ -122,9 +147,56 @@ def text_bigram_model(spark, d):
     return text.bigram_model(read(spark, d, "benchmark"), text.words("text")).withColumn("prob", F.round("prob", 8))
 
 
-@register("text_lead_summary")
+_SENT = r"""WITH s0 AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM benchmark),
+ s AS (SELECT item_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM s0), t AS (SELECT item_id, pos, unnest(""" + _W.format("s") + ") AS t FROM s)"
+_PICK = """, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) AS r FROM sc)
+ SELECT item_id, md5(string_agg(s, ' ' ORDER BY pos)) AS h FROM r JOIN s USING (item_id, pos) WHERE r <= 3 GROUP BY item_id"""
+_VEC = """, tf AS (SELECT item_id, pos, t, count(*) AS tf FROM t GROUP BY 1, 2, 3), n AS (SELECT item_id, count(DISTINCT pos) AS n FROM tf GROUP BY 1), d AS (SELECT item_id, t, count(*) AS df FROM tf GROUP BY 1, 2),
+ v0 AS (SELECT item_id, pos, t, tf * (ln((n + 1) / (df + 1)::DOUBLE) + 1) AS w FROM tf JOIN d USING (item_id, t) JOIN n USING (item_id)),
+ v AS (SELECT item_id, pos, t, w / sqrt(sum(w * w) OVER (PARTITION BY item_id, pos)) AS w FROM v0)"""
+
+
+@register("text_lead_summary", _SENT + """, c AS (SELECT item_id, t, count(*) AS c FROM t GROUP BY 1, 2), sc AS (SELECT item_id, pos, round(avg(c), 9) AS score FROM t JOIN c USING (item_id, t) GROUP BY 1, 2)""" + _PICK)
 def text_lead_summary(spark, d):
-    return text.lead_summary(read(spark, d, "benchmark"), "item_id", "text", 3)
+    return text.lead_summary(read(spark, d, "benchmark"), "item_id", "text", 3).select("item_id", F.md5(F.col("summary").cast("binary")).alias("h"))
+
+
+@register("text_centroid_summary", _SENT + _VEC + """, c AS (SELECT item_id, t, sum(w) AS c FROM v GROUP BY 1, 2), z AS (SELECT item_id, sqrt(sum(c * c)) AS z FROM c GROUP BY 1),
+ sc AS (SELECT item_id, pos, round(sum(w * c) / any_value(z), 9) AS score FROM v JOIN c USING (item_id, t) JOIN z USING (item_id) GROUP BY 1, 2)""" + _PICK)
+def text_centroid_summary(spark, d):
+    return text.centroid_summary(read(spark, d, "benchmark"), "item_id", "text", 3).select("item_id", F.md5(F.col("summary").cast("binary")).alias("h"))
+
+
+@register("text_textrank_summary")
+def text_textrank_summary(spark, d):
+    return text.textrank_summary(read(spark, d, "benchmark"), "item_id", "text", 3)
+
+
+@register("text_keywords", f"""WITH e AS (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM e GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
+ v AS (SELECT item_id, term, round(tf * ln(n::DOUBLE / df), 8) AS weight FROM tf JOIN df USING (term), n) SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, term) AS INTEGER) AS rank, term, weight FROM v QUALIFY rank <= 5""")
+def text_keywords(spark, d):
+    return text.keywords(read(spark, d, "benchmark"), "item_id", text.words("text"), 5)
+
+
+@register("text_max_features", f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS})) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 100")
+def text_max_features(spark, d):
+    return text.most_frequent_terms(read(spark, d, "documents"), "doc_id", text.words("text"), 100)
+
+
+_TRI = "list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr(lower({0}), i, 3))"
+
+
+@register("text_language_profiles", f"""WITH g AS (SELECT lang, unnest({_TRI.format("text")}) AS gram FROM documents WHERE length(text) >= 3), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
+ p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS rank FROM c QUALIFY rank < 300),
+ o0 AS (SELECT conv_id * 1000 + turn AS id, unnest({_TRI.format("text")}) AS gram FROM conversations WHERE length(text) >= 3), o1 AS (SELECT id, gram, count(*) AS n FROM o0 GROUP BY 1, 2),
+ o AS (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY n DESC, gram) - 1 AS r FROM o1 QUALIFY r < 300), m AS (SELECT id, count(*) AS m FROM o GROUP BY 1),
+ x AS (SELECT id, lang, sum(abs(r - rank) - 300) AS less FROM o JOIN p USING (gram) GROUP BY 1, 2), l AS (SELECT DISTINCT lang FROM p),
+ d AS (SELECT id, l.lang, CAST(m * 300 + coalesce(less, 0) AS BIGINT) AS distance FROM m CROSS JOIN l LEFT JOIN x USING (id, lang))
+ SELECT id, lang, distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, lang) = 1""")
+def text_language_profiles(spark, d):
+    p = text.language_profiles(read(spark, d, "documents"), "lang", "text")
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return text.detect_language(c, "id", "text", p)
 
 
 @register("text_levenshtein", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INTEGER) AS d, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 8) AS ratio FROM part")
@@ -132,9 +204,30 @@ def text_levenshtein(spark, d):
     return read(spark, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("d"), F.round(scalar.levenshtein_ratio("p_name", "p_type"), 8).alias("ratio"))
 
 
-@register("text_jaro_winkler")
+@register("text_jaro_winkler", "SELECT p_partkey, round(jaro_similarity(p_name, p_type), 8) AS jaro FROM part")
 def text_jaro_winkler(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.round(text.jaro_winkler_column("p_name", "p_brand"), 8).alias("similarity"))
+    return read(spark, d, "part").select("p_partkey", F.round(text.jaro("p_name", "p_type"), 8).alias("jaro"))
+
+
+@register("text_damerau", "SELECT p_partkey, CAST(levenshtein(p_name, p_brand) AS DOUBLE) AS plain, CAST(damerau_levenshtein(p_brand, reverse(p_brand)) AS DOUBLE) AS swapped FROM part")
+def text_damerau(spark, d):
+    p = read(spark, d, "part")
+    return p.select("p_partkey", text.weighted_levenshtein("p_name", "p_brand").alias("plain"), text.weighted_damerau(F.col("p_brand"), F.reverse("p_brand")).alias("swapped"))
+
+
+_TOPICS = f"WITH e AS (SELECT lang, unnest({_WORDS}) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT lang, w FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 30)"
+
+
+@register("text_topics", _TOPICS + """, k AS (SELECT x.lang AS a, y.lang AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.lang < y.lang GROUP BY 1, 2)
+ SELECT a, b, round(1 - k / (60.0::DOUBLE - k), 8) AS distance FROM k UNION ALL SELECT 'all', 'all', round(count(DISTINCT w) / count(*)::DOUBLE, 8) FROM t""")
+def text_topics(spark, d):
+    from pyspark.sql import Window
+
+    c = read(spark, d, "documents").select("lang", F.explode(text.words("text")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    top = c.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where("r <= 30")
+    topics = top.groupBy("lang").agg(F.collect_list("w").alias("words"))  # 30 words each
+    far = text.topic_distances(topics, "lang", "words").withColumn("distance", F.round("distance", 8))
+    return far.unionByName(text.topic_diversity(topics, "lang", "words").select(F.lit("all").alias("a"), F.lit("all").alias("b"), F.round("diversity", 8).alias("distance")))
 
 
 @register("text_jaccard_turns", f"""WITH w AS (SELECT conv_id, turn, list_distinct({_WORDS}) AS w FROM conversations)

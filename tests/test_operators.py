@@ -65,8 +65,13 @@ def test_text_fixtures(spark):
     assert (r.n_words, r.n_sentences) == (12, 3) and r.n_syllables >= 12
     f = spark.createDataFrame([(1, "I am not happy"), (2, "happy sad"), (3, "unknown")], "i int, t string")
     assert {r.i: r.score for r in text.sentiment(f, "t", ["i"]).collect()} == {1: -2.0, 2: 0.0, 3: 0.0}
-    assert text.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4)
-    assert text.jaro_winkler("", "") == 1 and text.jaro_winkler("a", "") == 0 and text.jaro_winkler("a", "b") == 0
+    pairs = spark.createDataFrame([("MARTHA", "MARHTA"), ("", ""), ("a", ""), ("a", "b"), (None, "a")], "a string, b string")
+    jw = [r.v for r in pairs.select(text.jaro_winkler("a", "b").alias("v")).collect()]
+    assert jw[0] == pytest.approx(0.9611, abs=1e-4) and jw[1:] == [1, 0, 0, None]
+    assert {w: v for w, v in text.POSITIVE.items() if w in ("happy", "nice")} == {"happy": 2.0, "nice": 1.0} and text.NEGATIVE["sad"] == -2.0
+    d = spark.createDataFrame([("kitten", "sitting"), ("ab", "ba"), ("", "abc"), (None, "x")], "a string, b string")
+    assert [r.v for r in d.select(text.weighted_levenshtein("a", "b", 2.0, 1.0, 1.5).alias("v")).collect()] == [5.0, 3.0, 6.0, None]
+    assert [r.v for r in d.select(text.weighted_damerau("a", "b", transpose=0.5).alias("v")).collect()] == [3.0, 0.5, 3.0, None]
 
 
 def test_series_fixtures(spark):
@@ -86,7 +91,7 @@ def test_sampling_fixtures(spark):
     s = sampling.train_test_split(d, "id", 0.4).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in s} == {"train": 3, "test": 2}
     with pytest.raises(ValueError):
-        sampling.stratified_sample(d, "id", "y", 5)
+        sampling.stratified_sample(d, "id", "y", 6)
     assert sampling.time_series_split(10, 3, 2, 1) == [(2, 3, 5), (4, 5, 7), (6, 7, 9)]
     folds = [r.fold for r in sampling.k_fold(spark.range(11), "id", 3).orderBy("id").collect()]
     assert folds == [0] * 4 + [1] * 4 + [2] * 3
