@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write df below the session's shared checkpoint folder and read it again; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(top)
-    path = f"{top}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.operators.state import release
+from quarry.operators.state import write as _cut
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -44,29 +34,34 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tol:
         return v.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count("*").alias("_d"))
     e = _cut(edges.select("src", "dst").join(out, "src"))
-    r = _cut(v.join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n)))
+    r = state = _cut(v.join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n)))
     for _ in range(iterations):
         loose = F.broadcast(r.where("_d IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_l")))  # one row
         got = e.join(r.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("_d")).alias("_g"))
         new = r.join(got, "id", "left").crossJoin(loose).select("id", "_d", F.col("rank").alias("_old"), (F.lit((1 - damping) / n) + damping * (F.coalesce("_g", F.lit(0.0)) + F.col("_l") / n)).alias("rank"))
         new = _cut(new)  # the state is read three times in a round
-        r = new.drop("_old")
+        release(state)
+        state, r = new, new.drop("_old")
         if tol and new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < tol:
             break
+    release(v)
+    release(e)
     return r.select("id", "rank")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each weak component, by minimum labels with shortcuts."""
     e = _cut(undirected(edges))
-    labels = _cut(vertices(edges).withColumn("component", F.col("id")))
+    labels = state = _cut(vertices(edges).withColumn("component", F.col("id")))
     while True:
         m = e.join(labels, e.src == labels.id).groupBy(F.col("dst").alias("v")).agg(F.min("component").alias("m"))
         step = labels.join(m, labels.id == m.v, "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("now"))
         up = labels.select(F.col("id").alias("u"), F.col("component").alias("ul"))
         step = _cut(step.join(up, step.now == up.u).select("id", "old", F.least("now", "ul").alias("component")))
-        labels = step.select("id", "component")
+        release(state)
+        labels, state = step.select("id", "component"), step
         if step.where("old <> component").isEmpty():
+            release(e)
             return labels
 
 
@@ -82,7 +77,9 @@ def bfs(edges: DataFrame, source, directed: bool = True, limit: int | None = Non
             return seen
         if limit is not None and d > limit:
             raise ValueError(f"the graph goes on after {limit} rounds")
-        seen = _cut(seen.union(new))
+        old, seen = seen, _cut(seen.union(new))
+        release(old)
+        release(new)
 
 
 def shortest_paths(edges: DataFrame, source, limit: int | None = None) -> DataFrame:
@@ -99,7 +96,8 @@ def shortest_paths(edges: DataFrame, source, limit: int | None = None) -> DataFr
             return best
         if limit is not None and k > limit:
             raise ValueError(f"distances still fall after {limit} rounds")
-        best = _cut(best.join(better.select("id"), "id", "left_anti").union(better))
+        old, best = best, _cut(best.join(better.select("id"), "id", "left_anti").union(better))
+        release(old)
         front = better
 
 

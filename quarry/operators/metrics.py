@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import state
+
 
 def regression(df: DataFrame, y: str, p: str, features: int = 1) -> DataFrame:
     """mae, mse, rmse, mape, r2, adjusted_r2, explained_variance, pearson and concordance."""
@@ -40,24 +42,22 @@ def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, descending; the window runs over distinct scores."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(y) > 0.5).cast("long")).alias("p"), F.sum((F.col(y) <= 0.5).cast("long")).alias("q"))
-    w = Window.partitionBy(F.lit(0))
-    o = w.orderBy(F.desc("threshold"))
-    return g.select("threshold", F.try_divide(F.sum("p").over(o), F.sum("p").over(w)).alias("tpr"), F.try_divide(F.sum("q").over(o), F.sum("q").over(w)).alias("fpr"))
+    r = state.attach(state.running_sums(g, "threshold", {"tp": "p", "fp": "q"}, descending=True), g.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q")), [])
+    return r.select("threshold", F.try_divide("tp", "_p").alias("tpr"), F.try_divide("fp", "_q").alias("fpr"))
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the ROC curve by average ranks of distinct scores."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(y) > 0.5).cast("long")).alias("p"), F.count("*").alias("n"))
-    r = g.withColumn("r", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("s")) - (F.col("n") - 1) / 2)
+    r = state.running_sums(g, "s", {"r": "n"}).withColumn("r", F.col("r") - (F.col("n") - 1) / 2)
     s = r.agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(((F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
 def precision_recall_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(y) > 0.5).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0))
-    o = w.orderBy(F.desc("threshold"))
-    return g.select("threshold", (F.sum("p").over(o) / F.sum("n").over(o)).alias("precision"), F.try_divide(F.sum("p").over(o), F.sum("p").over(w)).alias("recall"))
+    r = state.attach(state.running_sums(g, "threshold", {"tp": "p", "said": "n"}, descending=True), g.agg(F.sum("p").alias("_p")), [])
+    return r.select("threshold", (F.col("tp") / F.col("said")).alias("precision"), F.try_divide("tp", "_p").alias("recall"))
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:

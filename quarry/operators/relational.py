@@ -68,10 +68,46 @@ def interval_join(points: DataFrame, spans: DataFrame, by: list[str], t: str, st
 # sparse matrices
 
 
-def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sum over k of a(i, k) b(k, j), zeros dropped."""
-    j = a.select("i", F.col("j").alias("k"), F.col("v").alias("_a")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b")), "k")
-    return j.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")).where("v <> 0")
+#: Rows and columns of the dense pieces that a product is computed in, and into how many parts each side's free index is dealt.
+PIECE, PARTS = 1024, 4
+
+
+def matmul(a: DataFrame, b: DataFrame, block: int = 128) -> DataFrame:
+    """Sum over k of a(i, k) b(k, j), zeros dropped.
+
+    Entries meet by blocks of ``block`` inner indices, each dealt over PARTS x PARTS tasks by i and j, so no inner index
+    is one task. A task multiplies small dense matrices of the rows and columns that it has, and sends sums.
+    """
+    import numpy as np
+    import pandas as pd
+
+    parts = F.array(*(F.lit(p) for p in range(PARTS)))
+    x = a.select(F.col("i"), F.col("j").alias("k"), F.col("v").cast("double").alias("v")).withColumns({"kb": F.floor(F.col("k") / block), "ip": F.pmod(F.xxhash64("i"), F.lit(PARTS)).cast("int")}).withColumn("jp", F.explode(parts))
+    y = b.select(F.col("i").alias("k"), F.col("j"), F.col("v").cast("double").alias("v")).withColumns({"kb": F.floor(F.col("k") / block), "jp": F.pmod(F.xxhash64("j"), F.lit(PARTS)).cast("int")}).withColumn("ip", F.explode(parts))
+
+    def product(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        k = np.intersect1d(p["k"], q["k"])
+        p, q = p[p["k"].isin(k)], q[q["k"].isin(k)]
+        rows, i = np.unique(p["i"], return_inverse=True)
+        cols, j = np.unique(q["j"], return_inverse=True)
+        pk, qk = np.searchsorted(k, p["k"]), np.searchsorted(k, q["k"])
+        out = []
+        for r in range(0, len(rows), PIECE):
+            on = (i >= r) & (i < r + PIECE)
+            left = np.zeros((min(PIECE, len(rows) - r), len(k)))
+            np.add.at(left, (i[on] - r, pk[on]), p["v"].to_numpy()[on])
+            for c in range(0, len(cols), PIECE):
+                at = (j >= c) & (j < c + PIECE)
+                right = np.zeros((len(k), min(PIECE, len(cols) - c)))
+                np.add.at(right, (qk[at], j[at] - c), q["v"].to_numpy()[at])
+                m = left @ right
+                u, v = np.nonzero(m)
+                out.append(pd.DataFrame({"i": rows[r + u], "j": cols[c + v], "v": m[u, v]}))
+        return pd.concat(out) if out else pd.DataFrame({"i": rows[:0], "j": cols[:0], "v": np.zeros(0)})
+
+    kinds = f"i {a.schema['i'].dataType.simpleString()}, j {b.schema['j'].dataType.simpleString()}, v double"
+    done = x.groupBy("kb", "ip", "jp").cogroup(y.groupBy("kb", "ip", "jp")).applyInPandas(product, kinds)
+    return done.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
 
 
 def sparse_add(a: DataFrame, b: DataFrame) -> DataFrame:

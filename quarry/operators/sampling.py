@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import state
+
 
 def _u(id_col: str, seed: int) -> Column:
     """Uniform in [0, 1) by id."""
@@ -20,14 +22,65 @@ def _key(id_col: str, seed: int) -> list[Column]:
     return [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
 
 
-def random_sample(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
-    """Exactly k rows without replacement (all, if fewer)."""
-    return df.orderBy(*_key(id_col, seed)).limit(k)
+def _cut_off(df: DataFrame, id_col: str, seed: int, k: int):
+    """(hash, id) of the k-th row in hash order: counts by the hash's first bits, then the order inside one of these."""
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    rows = df.select(h.alias("h"), F.col(id_col).alias("i")).withColumn("b", F.shiftright("h", 48))
+    left = k
+    for r in sorted(rows.groupBy("b").agg(F.count("*").alias("n")).collect()):  # at most 65536 counts
+        if r.n >= left:
+            return rows.where(F.col("b") == r.b).orderBy("h", "i").limit(left).orderBy(F.desc("h"), F.desc("i")).first()
+        left -= r.n
+
+
+def _up_to(df: DataFrame, id_col: str, seed: int, k: int) -> Column:
+    """Is a row among the first k in hash order?"""
+    last = _cut_off(df, id_col, seed, k)
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    return (h < last["h"]) | ((h == last["h"]) & (F.col(id_col) <= F.lit(last["i"])))
+
+
+def random_sample(df: DataFrame, id_col: str, k: int, seed: int = 0, replacement: bool = False) -> DataFrame:
+    """Exactly k rows; without replacement ValueError if there are fewer, with it ``draw`` numbers the draws."""
+    n = df.count()
+    if k < 0 or n == 0 or (k > n and not replacement):
+        raise ValueError(f"{k} rows of {n}")
+    if not k:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("long")) if replacement else df.limit(0)
+    if not replacement:
+        return df.where(_up_to(df, id_col, seed, k))
+    numbered = global_index(df, [id_col], "_i")
+    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_i"))
+    return draws.join(numbered, "_i").select(*df.columns, "draw")
+
+
+def bootstrap(df: DataFrame, id_col: str, size: int | None = None, replicates: int = 1, seed: int = 0) -> DataFrame:
+    """Rows drawn with replacement, ``size`` (all by default) for each ``replicate``, numbered by ``draw``."""
+    n = df.count()
+    size = n if size is None else size
+    if n == 0 or size < 1 or replicates < 1:
+        raise ValueError("a bootstrap needs rows, a size and replicates")
+    numbered = global_index(df, [id_col], "_i")
+    draws = df.sparkSession.range(size * replicates).select(F.floor(F.col("id") / size).cast("int").alias("replicate"), (F.col("id") % size).alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_i"))
+    return draws.join(numbered, "_i").select(*df.columns, "replicate", "draw")
+
+
+def leave_one_out(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``fold`` 0 to n - 1: each row is the test of its own fold. Training rows of a fold are all others, so they are not listed."""
+    return global_index(df, [order], "fold")
+
+
+def cross_validate(df: DataFrame, fold: str, fit, score) -> list:
+    """score(fit(training rows), test rows) for every value of ``fold``; folds are few."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    return [score(fit(df.where(F.col(fold) != k)), df.where(F.col(fold) == k)) for k in folds]
 
 
 def stratified_sample(df: DataFrame, id_col: str, y: str, k: int, seed: int = 0) -> DataFrame:
     """Equal counts per class, the remainder to the lowest classes; ValueError if a class is short."""
     sizes = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count("*").alias("n")).collect()}  # a row a class
+    if None in sizes:
+        raise ValueError("a class is null")
     classes = sorted(sizes)
     quota = {c: k // len(classes) + (i < k % len(classes)) for i, c in enumerate(classes)}
     if any(quota[c] > sizes[c] for c in classes):
@@ -37,18 +90,34 @@ def stratified_sample(df: DataFrame, id_col: str, y: str, k: int, seed: int = 0)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.element_at(q, F.col(y))).drop("_r")
 
 
-def importance_sample(df: DataFrame, id_col: str, weight: str, k: int, seed: int = 0) -> DataFrame:
-    """k rows without replacement with chances by weight (exponential keys); weights of 0 or less are never drawn."""
-    return df.where(F.col(weight) > 0).withColumn("_k", -F.log(1 - _u(id_col, seed)) / F.col(weight)).orderBy("_k", id_col).limit(k).drop("_k")
+def importance_sample(df: DataFrame, id_col: str, weight: str, k: int, seed: int = 0, replacement: bool = False) -> DataFrame:
+    """k rows with chances by weight: without replacement by exponential keys, with it (numbered by ``draw``) by running sums.
+
+    ValueError on a negative weight, if all are zero, or if fewer than k rows have one.
+    """
+    one = df.agg(F.min(weight).alias("low"), F.sum(weight).alias("total"), F.sum((F.col(weight) > 0).cast("long")).alias("n")).first()
+    if one.low is None or one.low < 0 or not one.total or (k > one.n and not replacement):
+        raise ValueError("weights are not negative, not all zero, and enough for the sample")
+    live = df.where(F.col(weight) > 0)
+    if replacement:
+        spans = state.running_sums(live.withColumn("_o", F.xxhash64(F.col(id_col), F.lit(seed))), "_o", {"_end": weight})
+        width = float(one.total) / max(k, 1)
+        u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.lit(float(one.total))
+        draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), u.alias("_u")).withColumn("_b", F.floor(F.col("_u") / width))
+        spans = spans.withColumn("_start", F.col("_end") - F.col(weight)).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))))
+        return draws.join(spans, "_b").where("_u >= _start AND _u < _end").select(*df.columns, "draw")
+    keyed = live.withColumn("_k", -F.log(1 - _u(id_col, seed)) / F.col(weight))
+    last = state.order_statistics(keyed, "_k", [(k - 1) / max(one.n - 1, 1)]).first()["hi"][0] if k else -1.0
+    less = keyed.where(F.col("_k") < last)
+    ties = keyed.where(F.col("_k") == last).orderBy(id_col).limit(max(k - less.count(), 0))  # rows of one key
+    return less.unionByName(ties).drop("_k")
 
 
 def global_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     """Adds 0, 1, 2 ... in the given order: a range-partitioned sort, then offsets of the partitions (a number each on the driver)."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_j", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_j", F.col("_j") - F.col("_p") * F.lit(1 << 33))
-    from pyspark import StorageLevel
-
-    ranged = ranged.persist(StorageLevel.DISK_ONLY)  # the partition numbers must not change between both uses
+    ranged = state.write(ranged)  # the partition numbers must not change between both uses
     counts = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect())
     start, offsets = 0, []
     for p, n in counts:
@@ -64,9 +133,7 @@ def train_test_split(df: DataFrame, id_col: str, test_size: float, seed: int = 0
     k = int(n * test_size + 0.5)
     if not 0 < k < n:
         raise ValueError("both sides need rows")
-    last = df.select(*(c.alias(f"_k{i}") for i, c in enumerate(_key(id_col, seed)))).orderBy("_k0", "_k1").limit(k).orderBy(F.desc("_k0"), F.desc("_k1")).first()
-    h, i = _key(id_col, seed)
-    test = (h < last["_k0"]) | ((h == last["_k0"]) & (i <= F.lit(last["_k1"])))
+    test = _up_to(df, id_col, seed, k)
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
@@ -118,9 +185,17 @@ def max_abs(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / (q75 - q25) with quartiles as order statistics n / 4 and 3n / 4; centred only where they agree."""
-    disc = lambda p: lambda c: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)")
-    m = _fit(df, columns, {"a": disc(0.25), "m": F.median, "b": disc(0.75)})
-    return df.withColumns({c: (F.col(c) - m[f"{c}__m"]) / ((m[f"{c}__b"] - m[f"{c}__a"]) or 1.0) for c in columns})
+    out = {}
+    for c in columns:
+        n = df.agg(F.count(c)).first()[0]
+        at = lambda i, n=n: min(max(i, 0), n - 1) / max(n - 1, 1)
+        r = state.order_statistics(df, c, [at(-(-n // 4) - 1), 0.5, at(-(-3 * n // 4) - 1)]).first() if n else None
+        if r is None:
+            out[c] = F.col(c).cast("double")
+            continue
+        mid = r.lo[1] + (r.hi[1] - r.lo[1]) * r.part[1]
+        out[c] = (F.col(c) - mid) / ((r.lo[2] - r.lo[0]) or 1.0)
+    return df.withColumns(out)
 
 
 def normalize_rows(df: DataFrame, columns: list[str], norm: str = "l2") -> DataFrame:
@@ -137,7 +212,7 @@ def equal_width(df: DataFrame, x: str, bins: int) -> DataFrame:
 
 def quantile_bins(df: DataFrame, x: str, bins: int) -> DataFrame:
     """Bins by exact quantile edges; a value on an edge goes up."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0]
+    edges = list(state.quantiles(df, x, [i / bins for i in range(1, bins)]).first())
     return df.withColumn("bin", sum(((F.col(x) >= e).cast("int") for e in edges), F.lit(0)))
 
 
@@ -147,8 +222,8 @@ def frequency_encode(df: DataFrame, x: str) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, x: str) -> DataFrame:
-    """Index of the sorted distinct value; the window sees distinct values only."""
-    d = df.select(x).where(F.col(x).isNotNull()).distinct().withColumn(f"{x}_code", (F.row_number().over(Window.orderBy(x)) - 1).cast("int"))
+    """Index of the sorted distinct value, by sorted ranges."""
+    d = global_index(df.select(x).where(F.col(x).isNotNull()).distinct(), [x], f"{x}_code").withColumn(f"{x}_code", F.col(f"{x}_code").cast("int"))
     return df.join(d, x, "left")
 
 
@@ -171,8 +246,10 @@ def one_hot(df: DataFrame, x: str, values: list) -> DataFrame:
 
 
 def impute(df: DataFrame, columns: list[str], how: str = "mean") -> DataFrame:
-    f = {"mean": F.avg, "median": F.median, "mode": F.mode}[how]
-    m = _fit(df, columns, {"v": f})
+    if how == "median":
+        m = {f"{c}__v": (state.quantiles(df, c, [0.5]).first() or [None])[0] for c in columns}
+    else:
+        m = _fit(df, columns, {"v": {"mean": F.avg, "mode": F.mode}[how]})
     return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.lit(m[f"{c}__v"])) for c in columns})
 
 

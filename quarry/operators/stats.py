@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
+from quarry.operators import state
 
 
 def _by(by) -> list[str]:
@@ -41,52 +42,49 @@ def central_moment(df: DataFrame, x: str, k: int, by=None) -> DataFrame:
 
 
 def quantile(df: DataFrame, x: str, q: float, by=None, method: str = "linear") -> DataFrame:
-    """Quantile at q(n - 1): linear, lower, higher, midpoint or nearest (below one half: lower).
-
-    ``linear`` uses the percentile aggregate; the others take two order statistics of a counted table of
-    distinct values, so equal values are one row before the ordered window.
-    """
+    """Quantile at q(n - 1): linear, lower, higher, midpoint or nearest (below one half: lower), exact for columns of any size."""
     keys = _by(by)
-    if method == "linear":
-        return df.groupBy(*keys).agg(F.percentile(x, F.lit(q)).alias("quantile"))
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    ranked = counts.withColumn("_hi", F.sum("_c").over(w.orderBy(x))).withColumn("_n", F.sum("_c").over(w))
-    pos = F.lit(q) * (F.col("_n") - 1)
-    at = lambda p: F.max(F.when((F.col("_hi") - F.col("_c") <= p) & (p < F.col("_hi")), F.col(x)))
-    frac = pos - F.floor(pos)
-    low, high, part = at(F.floor(pos)), at(F.ceil(pos)), F.first(frac)
-    pick = {"lower": low, "higher": high, "midpoint": (low + high) / 2, "nearest": F.when(part < 0.5, low).otherwise(high)}
-    return ranked.groupBy(*keys).agg(pick[method].alias("quantile"))
+    r = state.order_statistics(df, x, [q], keys)
+    low, high, part = F.col("lo")[0], F.col("hi")[0], F.col("part")[0]
+    pick = {"linear": low + (high - low) * part, "lower": low, "higher": high, "midpoint": (low + high) / 2, "nearest": F.when(part < 0.5, low).otherwise(high)}
+    return r.select(*keys, pick[method].alias("quantile"))
 
 
 def dispersion(df: DataFrame, x: str, by=None) -> DataFrame:
     """Interquartile range, coefficient of variation (null at mean 0) and range."""
-    c = F.col(x)
-    return df.groupBy(*_by(by)).agg(
-        (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias("iqr"),
-        F.try_divide(F.stddev_samp(c), F.abs(F.avg(c))).alias("cv"),
-        (F.max(c) - F.min(c)).alias("range"),
-    )
+    c, keys = F.col(x), _by(by)
+    s = df.groupBy(*keys).agg(F.try_divide(F.stddev_samp(c), F.abs(F.avg(c))).alias("cv"), (F.max(c) - F.min(c)).alias("range"))
+    return state.attach(s, state.quantiles(df, x, [0.25, 0.75], keys), keys).select(*keys, (F.col("q1") - F.col("q0")).alias("iqr"), "cv", "range")
+
+
+def percentile_range(df: DataFrame, x: str, lo: float, hi: float, by=None) -> DataFrame:
+    """Distance of two quantiles."""
+    keys = _by(by)
+    return state.quantiles(df, x, [lo, hi], keys).select(*keys, (F.col("q1") - F.col("q0")).alias("percentile_range"))
 
 
 def mad(df: DataFrame, x: str, by=None, scale: float = 1.0) -> DataFrame:
     """Median absolute deviation from the median."""
     keys = _by(by)
-    mid = df.groupBy(*keys).agg(F.median(x).alias("_m"))
-    joined = df.join(mid, keys) if keys else df.crossJoin(F.broadcast(mid))  # one row
-    return joined.groupBy(*keys).agg((F.median(F.abs(F.col(x) - F.col("_m"))) * scale).alias("mad"))
+    joined = state.attach(df, state.quantiles(df, x, [0.5], keys), keys).select(*keys, F.abs(F.col(x) - F.col("q0")).alias("_d"))
+    return state.quantiles(joined, "_d", [0.5], keys).select(*keys, (F.col("q0") * scale).alias("mad"))
+
+
+def robust_summary(df: DataFrame, x: str, by=None) -> DataFrame:
+    """median, q1, q3, iqr, mad (scaled to the normal) and the five-number range."""
+    keys = _by(by)
+    q = state.quantiles(df, x, [0.0, 0.25, 0.5, 0.75, 1.0], keys).select(*keys, F.col("q0").alias("min"), F.col("q1").alias("q1"), F.col("q2").alias("median"), F.col("q3").alias("q3"), F.col("q4").alias("max"), (F.col("q3") - F.col("q1")).alias("iqr"))
+    return state.attach(q, mad(df, x, keys, 1.4826), keys)
 
 
 def gini(df: DataFrame, x: str, by) -> DataFrame:
     """2 sum(i x(i)) / (n sum(x)) - (n + 1) / n with values in order; 0 when they add up to 0.
 
-    Equal values share one row of the ordered window, with the sum of their ranks.
+    Equal values are one row, with the sum of their ranks.
     """
     keys = _by(by)
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(x)
-    r = counts.withColumn("_hi", F.sum("_c").over(w))
+    r = state.running_sums(counts, x, {"_hi": "_c"}, keys)
     ranks = F.col("_c") * (2 * F.col("_hi") - F.col("_c") + 1) / 2
     n, s = F.sum("_c"), F.sum(F.col(x) * F.col("_c"))
     return r.groupBy(*keys).agg(F.when(F.abs(s) < 1e-12, 0.0).otherwise(2 * F.sum(ranks * F.col(x)) / (n * s) - (n + 1) / n).alias("gini"))
@@ -109,8 +107,8 @@ def zscore_outliers(df: DataFrame, x: str, threshold: float = 3.0, by=None) -> D
 
 def iqr_outliers(df: DataFrame, x: str, factor: float = 1.5, by=None) -> DataFrame:
     keys = _by(by)
-    s = df.groupBy(*keys).agg(F.percentile(x, F.lit(0.25)).alias("_a"), F.percentile(x, F.lit(0.75)).alias("_b"))
-    j = df.join(s, keys) if keys else df.crossJoin(F.broadcast(s))  # one row
+    s = state.quantiles(df, x, [0.25, 0.75], keys).withColumnsRenamed({"q0": "_a", "q1": "_b"})
+    j = state.attach(df, s, keys)
     width = F.col("_b") - F.col("_a")
     return j.where((F.col(x) < F.col("_a") - factor * width) | (F.col(x) > F.col("_b") + factor * width)).drop("_a", "_b")
 
@@ -131,9 +129,8 @@ def average_ranks(df: DataFrame, x: str, by=None, name: str = "rank") -> DataFra
     """Adds the average rank of x (ties share it), through a table of distinct values."""
     keys = _by(by)
     c = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(x)
-    r = c.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
-    return df.join(r.drop("_c"), [*keys, x])
+    r = state.running_sums(c, x, {"_hi": "_c"}, keys).withColumn(name, F.col("_hi") - (F.col("_c") - 1) / 2)
+    return df.join(r.drop("_c", "_hi"), [*keys, x])
 
 
 def spearman(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
@@ -141,20 +138,66 @@ def spearman(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
     return r.groupBy(*_by(by)).agg(F.corr("_rx", "_ry").alias("spearman"))
 
 
+def _inversions(ys: list[float], ns: list[float]) -> float:
+    """Weighted pairs i < j with y[i] > y[j], by a Fenwick tree."""
+    import numpy as np
+
+    at = np.unique(ys, return_inverse=True)[1]
+    tree, total, out = np.zeros(int(at.max(initial=-1)) + 2), 0.0, 0.0
+    for k, n in zip(at, ns):
+        below, i = 0.0, int(k) + 1
+        while i:
+            below += tree[i]
+            i -= i & -i
+        out += n * (total - below)
+        total += n
+        i = int(k) + 1
+        while i < len(tree):
+            tree[i] += n
+            i += i & -i
+    return out
+
+
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
-    """tau-b over a table of distinct (x, y) cells: meant for ordinal columns, whose cells are few."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    sx, sy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    pair = F.col("a.n") * F.col("b.n")
-    t = a.join(b, (F.col("a.x") >= F.col("b.x"))).agg(
-        F.sum(F.when(F.col("a.x") > F.col("b.x"), pair * sx * sy)).alias("s"),
-        F.sum(F.when(F.col("a.x") > F.col("b.x"), pair)).alias("px"),
-    )
-    ty = cells.groupBy("y").agg(F.sum("n").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("ties"))
-    n = cells.agg(F.sum("n").alias("n"))
-    out = t.crossJoin(F.broadcast(ty)).crossJoin(F.broadcast(n))  # one row each
-    return out.select((F.col("s") / F.sqrt(F.col("px") * (F.col("n") * (F.col("n") - 1) / 2 - F.col("ties")))).alias("tau_b"))
+    """tau-b from discordant pairs over the table of distinct (x, y) cells.
+
+    Cells are dealt by ranges of x and of y. Pairs of cells in different ranges of both need the ranges' counts only;
+    pairs in one x range or in one y range are counted there, in order, by a tree. So a task holds one range's cells.
+    """
+    import numpy as np
+    import pandas as pd
+
+    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = base.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    cells = state.write(cells.withColumn("rx", state.ranges(cells, "x")).withColumn("ry", state.ranges(cells, "y")))
+
+    def strip(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["x", "y"])
+        return pd.DataFrame({"d": [_inversions(g["y"].tolist(), g["n"].tolist())]})
+
+    def band(g: pd.DataFrame) -> pd.DataFrame:
+        """In one y range: pairs in different x ranges only."""
+        g = g.sort_values(["x", "y"])
+        d = _inversions(g["y"].tolist(), g["n"].tolist())
+        for _, h in g.groupby("rx", sort=False):
+            d -= _inversions(h["y"].tolist(), h["n"].tolist())
+        return pd.DataFrame({"d": [d]})
+
+    own = cells.groupBy("rx").applyInPandas(strip, "d double").unionAll(cells.groupBy("ry").applyInPandas(band, "d double")).agg(F.sum("d")).first()[0] or 0.0
+    grid = cells.groupBy("rx", "ry").agg(F.sum("n").alias("n")).collect()  # ranges of x times ranges of y
+    m = np.zeros((max((r.rx for r in grid), default=0) + 1, max((r.ry for r in grid), default=0) + 1))
+    for r in grid:
+        m[r.rx, r.ry] = r.n
+    past = np.cumsum(m, 0) - m  # cells before, by y range
+    above = past.sum(1, keepdims=True) - np.cumsum(past, 1)
+    own += float((m * above).sum())
+    half = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    tie = lambda *c: base.groupBy(*c).agg(F.count("*").cast("double").alias("k")).agg(half("k").alias("t"))
+    tx, ty, txy = (F.broadcast(tie(*c).withColumnRenamed("t", k)) for c, k in ((("x",), "tx"), (("y",), "ty"), (("x", "y"), "txy")))
+    out = base.agg(F.count("*").cast("double").alias("n")).crossJoin(tx).crossJoin(ty).crossJoin(txy)  # one row each
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    tx_, ty_, txy_ = (F.coalesce(c, F.lit(0.0)) for c in ("tx", "ty", "txy"))
+    return out.select(F.try_divide(pairs - tx_ - ty_ + txy_ - 2 * F.lit(own), F.sqrt((pairs - tx_) * (pairs - ty_))).alias("tau_b"))
 
 
 def partial_correlation(df: DataFrame, x: str, y: str, z: str, by=None) -> DataFrame:
@@ -201,15 +244,25 @@ def chi2_gof(df: DataFrame, observed: str, expected: str) -> DataFrame:
 
 
 def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = False) -> DataFrame:
-    """Pearson's chi-square of the table a x b; empty cells count with their expectation."""
+    """Pearson's chi-square of the table a x b; empty cells count with their expectation.
+
+    Without Yates the empty cells add up to t minus the expectations of the others; with it the table is 2 x 2.
+    """
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
     ra, rb = n.groupBy(a).agg(F.sum("n").alias("ra")), n.groupBy(b).agg(F.sum("n").alias("rb"))
-    cells = ra.crossJoin(rb).join(n, [a, b], "left")  # one row for each cell of the table
-    total = F.broadcast(n.agg(F.sum("n").alias("t")))  # one row
+    total = n.agg(F.sum("n").alias("t"))
     e = F.col("ra") * F.col("rb") / F.col("t")
-    gap = F.abs(F.coalesce("n", F.lit(0)) - e)
-    gap = F.greatest(gap - 0.5, F.lit(0.0)) if yates else gap
-    return cells.crossJoin(total).agg(F.sum(gap * gap / e).alias("chi2"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"))
+    shape = ra.agg(F.count("*").alias("ka")).crossJoin(F.broadcast(rb.agg(F.count("*").alias("kb"))))  # one row each
+    df_ = ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df")
+    if yates:
+        if shape.where("ka > 2 OR kb > 2").count():
+            raise ValueError("the correction is for tables of two by two")
+        cells = ra.crossJoin(F.broadcast(rb)).join(n, [a, b], "left")  # four rows at most
+        gap = F.greatest(F.abs(F.coalesce("n", F.lit(0)) - e) - 0.5, F.lit(0.0))
+        return state.attach(state.attach(cells, total, []).agg(F.sum(gap * gap / e).alias("chi2")), shape, []).select("chi2", df_)
+    full = state.attach(n.join(ra, a).join(rb, b), total, [])
+    s = full.agg(F.sum((F.col("n") - e) ** 2 / e).alias("s"), F.sum(e).alias("e"), F.first("t").alias("t"))
+    return state.attach(s, shape, []).select((F.col("s") + F.col("t") - F.col("e")).alias("chi2"), df_)
 
 
 def t_test(df: DataFrame, x: str, group: str, a, b, equal_var: bool = False) -> DataFrame:
@@ -263,9 +316,9 @@ def friedman(df: DataFrame, subject: str, treatment: str, x: str) -> DataFrame:
 def ks_two_sample(df: DataFrame, x: str, group: str, a, b) -> DataFrame:
     """Largest gap of the two empirical distribution functions, over distinct values."""
     c = df.where(F.col(group).isin(a, b) & F.col(x).isNotNull()).groupBy(x).agg(F.sum(F.when(F.col(group) == a, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col(group) == b, 1).otherwise(0)).alias("nb"))
-    w = Window.partitionBy(F.lit(0))
-    f = lambda n: F.sum(n).over(w.orderBy(x)) / F.sum(n).over(w)
-    return c.select(F.abs(f("na") - f("nb")).alias("d")).agg(F.max("d").alias("ks"))
+    r = state.running_sums(c, x, {"ca": "na", "cb": "nb"})
+    r = state.attach(r, c.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb")), [])
+    return r.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
 
 
 def linear_regression(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
@@ -338,4 +391,4 @@ def bootstrap_means(df: DataFrame, x: str, replicates: int, seed: int) -> DataFr
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight).groupBy("replicate").agg((F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias("mean"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "Window", "F", "scalar")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "Window", "F", "scalar", "state")]

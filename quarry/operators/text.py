@@ -112,10 +112,9 @@ def vocabulary(df: DataFrame, id_col: str, tokens: Column, max_size: int | None
     Ids come from counts of sorted ranges, not from one unpartitioned window over all terms.
     """
     seen = df.select(F.col(id_col).alias("_d"), F.posexplode(tokens).alias("_p", "term")).groupBy("term").agg(F.min(F.struct("_d", "_p")).alias("_at"))
-    per = seen.groupBy(F.col("_at._d").alias("_d")).agg(F.count("*").alias("_n"))
-    start = per.withColumn("_s", F.sum("_n").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)))  # a row a document with new terms
-    out = seen.withColumn("_d", F.col("_at._d")).join(start, "_d").withColumn("id", F.coalesce("_s", F.lit(0)) + F.row_number().over(Window.partitionBy("_d").orderBy("_at._p")) - 1)
-    out = out.select("term", F.col("id").cast("long").alias("id"))
+    from quarry.operators.sampling import global_index
+
+    out = global_index(seen.select("term", "_at._d", "_at._p"), ["_d", "_p"], "id").select("term", F.col("id").cast("long").alias("id"))
     return out.where(F.col("id") < max_size) if max_size is not None else out
 
 
@@ -339,7 +338,7 @@ def jaro(a, b) -> Column:
     met = F.filter(spots, lambda j: F.substr(done["rest"], j, F.lit(1)) == taken)
     k = F.length(done["hits"])
     swaps = F.size(F.filter(F.transform(met, lambda j, i: F.substr(b, j, F.lit(1)) != F.substr(done["hits"], i + 1, F.lit(1))), lambda x: x)) / 2
-    return F.when(a == b, 1.0).when((n == 0) | (m == 0) | (k == 0), 0.0).otherwise((k / n + k / m + (k - swaps) / k) / 3)
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == b, 1.0).when((n == 0) | (m == 0) | (k == 0), 0.0).otherwise((k / n + k / m + (k - swaps) / k) / 3)
 
 
 def jaro_winkler(a, b, prefix_weight: float = 0.1) -> Column:
