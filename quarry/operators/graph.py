@@ -202,3 +202,173 @@ def label_propagation(edges: DataFrame, iterations: int = 5) -> DataFrame:
         lab = lab.join(best, lab.id == best.v, "left").select("id", F.coalesce("new", "label").alias("label"))
         lab = _cut(lab)
     return lab
+
+
+def eccentricities(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
+    """(id, eccentricity) of the given vertices: the greatest hop distance to what they reach. Diameter and radius are its extremes over all vertices."""
+    return hop_distances(edges, sources, directed).groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("eccentricity"))
+
+
+def hop_distances(edges: DataFrame, sources: DataFrame, directed: bool = True) -> DataFrame:
+    """(source, id, dist): breadth-first from every source at once, one join a hop. The result has a row for each source and vertex that it reaches."""
+    e = _cut(edges.select("src", "dst").where("src <> dst").distinct() if directed else undirected(edges))
+    seen = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist")).distinct())
+    for d in count(1):
+        front = seen.where(F.col("dist") == d - 1)
+        new = _cut(front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).distinct().join(seen, ["source", "id"], "left_anti").withColumn("dist", F.lit(d)))
+        if new.isEmpty():
+            release(e)
+            return seen
+        old, seen = seen, _cut(seen.unionByName(new))
+        release(old)
+        release(new)
+
+
+def diameter_radius(edges: DataFrame) -> DataFrame:
+    """(diameter, radius) of an undirected graph, inside its components: one breadth-first a vertex, so meant for graphs of up to some thousands."""
+    return eccentricities(edges, vertices(edges)).agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"))
+
+
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, closeness) along directed edges: reached / total distance, times the share of the other vertices that is reached."""
+    n = vertices(edges).agg(F.count("*").alias("n"))
+    k = hop_distances(edges, sources).groupBy(F.col("source").alias("id")).agg((F.count("*") - 1).alias("k"), F.sum("dist").alias("t"))
+    return k.crossJoin(F.broadcast(n)).select("id", F.coalesce(F.try_divide(F.col("k") * F.col("k"), F.col("t") * (F.col("n") - 1)), F.lit(0.0)).alias("closeness"))  # n: one row
+
+
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, betweenness): dependencies of the given sources summed (of all vertices: the exact betweenness of a directed graph).
+
+    Brandes' recurrence by levels: path counts on the way out, dependencies on the way back, one join a level.
+    """
+    e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    level = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")).distinct())
+    levels, seen = [level], level
+    for d in count(1):
+        got = level.join(e, level.id == e.src).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths")).withColumn("dist", F.lit(d))
+        level = _cut(got.join(seen, ["source", "id"], "left_anti").select("source", "id", "dist", "paths"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level)
+    after, out = None, None
+    for level in reversed(levels):
+        if after is None:
+            now = level.withColumn("dep", F.lit(0.0))
+        else:
+            up = after.select("source", F.col("id").alias("dst"), (((F.lit(1.0) + F.col("dep"))) / F.col("paths")).alias("share"))
+            back = level.join(e, level.id == e.src).join(up, ["source", "dst"]).groupBy("source", "id").agg(F.sum("share").alias("share"))
+            now = level.join(back, ["source", "id"], "left").withColumn("dep", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share")
+        after = _cut(now)
+        part = after.where("source <> id").select("id", "dep")
+        out = part if out is None else out.unionByName(part)
+    got = out.groupBy("id").agg(F.sum("dep").alias("betweenness"))
+    return vertices(edges).join(got, "id", "left").fillna(0.0, ["betweenness"])
+
+
+def _iterate(edges: DataFrame, start: DataFrame, step, rounds: int) -> DataFrame:
+    """start(id, ...) through step(edges, state) so many times, with the state written every round."""
+    e, state = _cut(edges.select("src", "dst").distinct()), _cut(start)
+    for _ in range(rounds):
+        old, state = state, _cut(step(e, state))
+        release(old)
+    release(e)
+    return state
+
+
+def _normal(df: DataFrame, c: str) -> DataFrame:
+    """Column c divided by its Euclidean length."""
+    size = F.broadcast(df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("_z")))  # one row
+    return df.crossJoin(size).withColumn(c, F.coalesce(F.try_divide(c, "_z"), F.lit(0.0))).drop("_z")
+
+
+def eigenvector(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, score): power iteration on the undirected graph plus the unit matrix (which also settles on bipartite graphs), of length 1."""
+    u = undirected(edges)
+
+    def step(e: DataFrame, x: DataFrame) -> DataFrame:
+        got = e.join(x, e.src == x.id).groupBy("dst").agg(F.sum("score").alias("g"))
+        return _normal(x.join(got, x.id == got.dst, "left").select("id", (F.col("score") + F.coalesce("g", F.lit(0.0))).alias("score")), "score")
+
+    return _iterate(u, vertices(edges).withColumn("score", F.lit(1.0)), step, rounds)
+
+
+def hits(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, hub, authority) of length 1 each."""
+
+    def step(e: DataFrame, x: DataFrame) -> DataFrame:
+        a = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority"))
+        a = _cut(_normal(x.select("id").join(a, "id", "left").fillna(0.0, ["authority"]), "authority"))
+        h = e.join(a, e.dst == a.id).groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub"))
+        return _normal(a.join(h, "id", "left").fillna(0.0, ["hub"]).select("id", "hub", "authority"), "hub")
+
+    return _iterate(edges, vertices(edges).select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")), step, rounds)
+
+
+def katz(edges: DataFrame, alpha: float = 0.1, rounds: int = 100) -> DataFrame:
+    """(id, katz): 1 + alpha times the sum over in-neighbours, so many rounds from 1."""
+
+    def step(e: DataFrame, x: DataFrame) -> DataFrame:
+        got = e.join(x, e.src == x.id).groupBy("dst").agg(F.sum("katz").alias("g"))
+        return x.join(got, x.id == got.dst, "left").select("id", (F.lit(1.0) + alpha * F.coalesce("g", F.lit(0.0))).alias("katz"))
+
+    return _iterate(edges, vertices(edges).withColumn("katz", F.lit(1.0)), step, rounds)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id of each strong component.
+
+    Each round colours every vertex with the least id that reaches it; what reaches the colour's root inside its colour
+    is that root's component, and the rest goes on without it.
+    """
+    e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left, done = _cut(vertices(edges)), None
+    while not left.isEmpty():
+        colour = _spread(e, left.withColumn("c", F.col("id")), "src", "dst")
+        inner = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
+        inner = _cut(inner)
+        back = _spread(inner, colour.select("id", F.when(F.col("id") == F.col("c"), F.col("c")).alias("c")), "dst", "src")
+        found = _cut(back.where("c IS NOT NULL").select("id", F.col("c").alias("component")))
+        done = found if done is None else _cut(done.unionByName(found))
+        old, left = left, _cut(left.join(found, "id", "left_anti"))
+        keep = inner.join(left.withColumnRenamed("id", "src"), "src").join(left.withColumnRenamed("id", "dst"), "dst").select("src", "dst")
+        e = _cut(keep)
+        release(old)
+        release(inner)
+    return done if done is not None else vertices(edges).withColumn("component", F.col("id"))
+
+
+def _spread(e: DataFrame, start: DataFrame, a: str, b: str) -> DataFrame:
+    """start(id, c) with the least c that comes along edges from a to b, until nothing changes."""
+    state = _cut(start)
+    while True:
+        got = e.join(state, e[a] == state.id).groupBy(F.col(b).alias("v")).agg(F.min("c").alias("m"))
+        new = _cut(state.join(got, state.id == got.v, "left").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")))
+        if new.where("NOT (old <=> c)").isEmpty():
+            return new.select("id", "c")
+        release(state)
+        state = new
+
+
+def neighbour_cosine(edges: DataFrame) -> DataFrame:
+    """(a, b, cosine) of vertices that share a neighbour, a < b: shared neighbours over the root of the product of degrees."""
+    e = undirected(edges)
+    d = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("m")), "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    r = both.join(d.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    return r.select("a", "b", (F.col("k") / F.sqrt(F.col("da") * F.col("db"))).alias("cosine"))
+
+
+def edge_subgraph(edges: DataFrame, min_weight: float | None = None, max_weight: float | None = None) -> DataFrame:
+    """The edges with a weight inside the bounds."""
+    out = edges
+    if min_weight is not None:
+        out = out.where(F.col("weight") >= min_weight)
+    return out if max_weight is None else out.where(F.col("weight") <= max_weight)
+
+
+def degree_mix(edges: DataFrame) -> DataFrame:
+    """(assortativity): correlation of the degrees at both ends of the undirected edges."""
+    e = undirected(edges)
+    d = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    return e.join(d.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("d").alias("dd")), "dst").agg(F.corr("ds", "dd").alias("assortativity"))

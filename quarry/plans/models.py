@@ -347,8 +347,10 @@ def pipeline_columns(spark, d):
 
 
 def _edges(spark, d):
-    """A graph of at most 60 vertices (one order in 50, ids modulo 60), as the SQL of the queries that have an oracle defines it."""
-    return read(spark, d, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst")).where("src <> dst").distinct()
+    """Users who act one after the other, from all events: from the user of each event to the user of the next one."""
+    e = read(spark, d, "events").select("event_id", "user_id")
+    n = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst"))
+    return e.join(n, "event_id").select(F.col("user_id").alias("src"), "dst").where("src <> dst").distinct()
 
 
 def _all_edges(spark, d):
@@ -356,7 +358,16 @@ def _all_edges(spark, d):
     return read(spark, d, "lineitem").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL").select((F.col("l_suppkey") * 2).cast("long").alias("src"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst")).distinct()
 
 
-_E = "e AS (SELECT DISTINCT l_suppkey % 60 AS src, l_partkey % 60 AS dst FROM lineitem WHERE l_orderkey % 50 = 0 AND l_suppkey % 60 <> l_partkey % 60), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_E = "e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_PLACES = """p AS (SELECT s_suppkey * 4 + 2 AS src, s_nationkey::BIGINT * 4 + 1 AS dst FROM supplier UNION ALL SELECT c_custkey * 4 + 3, c_nationkey::BIGINT * 4 + 1 FROM customer UNION ALL SELECT n_nationkey::BIGINT * 4 + 1, n_regionkey::BIGINT * 4 FROM nation)"""
+
+
+def _places(spark, d):
+    """Suppliers and customers, their nations, and the nations' regions: all rows; ids modulo 4 tell the kinds apart."""
+    s = read(spark, d, "supplier").select((F.col("s_suppkey") * 4 + 2).alias("src"), (F.col("s_nationkey").cast("long") * 4 + 1).alias("dst"))
+    c = read(spark, d, "customer").select((F.col("c_custkey") * 4 + 3).alias("src"), (F.col("c_nationkey").cast("long") * 4 + 1).alias("dst"))
+    n = read(spark, d, "nation").select((F.col("n_nationkey").cast("long") * 4 + 1).alias("src"), (F.col("n_regionkey").cast("long") * 4).alias("dst"))
+    return s.unionAll(c).unionAll(n)
 
 
 @register("graph_degrees", f"WITH {_E}, o AS (SELECT src AS id, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) SELECT coalesce(o.id, i.id) AS id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM o FULL JOIN i ON o.id = i.id")
@@ -373,20 +384,21 @@ def graph_pagerank(spark, d):
     return _r(graph.pagerank(_edges(spark, d), iterations=10), 8)
 
 
-@register("graph_components", f"WITH RECURSIVE {_E}, r AS (SELECT src AS id, src AS m FROM u UNION SELECT u.dst, r.m FROM r JOIN u ON u.src = r.id) SELECT id, min(m) AS component FROM r GROUP BY id")
+@register("graph_components", f"WITH RECURSIVE {_PLACES}, u AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), r AS (SELECT src AS id, src AS m FROM u WHERE src % 4 = 0 OR src % 4 = 1 UNION SELECT u.dst, r.m FROM r JOIN u ON u.src = r.id WHERE u.dst % 4 < 2), t AS (SELECT id, min(m) AS m FROM r GROUP BY id), x AS (SELECT id, m FROM t UNION ALL SELECT p.src, t.m FROM p JOIN t ON p.dst = t.id WHERE p.src % 4 > 1), c AS (SELECT m, min(id) AS component FROM x GROUP BY m) SELECT id, component FROM x JOIN c USING (m)")
 def graph_components(spark, d):
-    return graph.connected_components(_edges(spark, d))
+    return graph.connected_components(_places(spark, d))
 
 
-@register("graph_bfs", f"WITH RECURSIVE {_E}, r AS (SELECT 1::BIGINT AS id, 0 AS d UNION SELECT e.dst, d + 1 FROM r JOIN e ON e.src = r.id WHERE d < 30) SELECT id, CAST(min(d) AS INTEGER) AS dist FROM r GROUP BY id")
+@register("graph_bfs", f"WITH RECURSIVE {_E}, r AS (SELECT min(src) AS id, 0 AS d FROM u UNION SELECT e.dst, d + 1 FROM r JOIN e ON e.src = r.id WHERE d < 12) SELECT id, CAST(min(d) AS INTEGER) AS dist FROM r GROUP BY id")
 def graph_bfs(spark, d):
-    return graph.bfs(_edges(spark, d), 1)
+    e = _edges(spark, d)
+    return graph.bfs(e, graph.vertices(e).agg(F.min("id")).first()[0])
 
 
-@register("graph_shortest_paths", f"WITH RECURSIVE {_E}, w AS (SELECT src, dst, 1.0::DOUBLE + (src * 7 + dst) % 5 AS weight FROM e), r AS (SELECT 1::BIGINT AS id, 0.0::DOUBLE AS d UNION SELECT w.dst, d + weight FROM r JOIN w ON w.src = r.id WHERE d + weight < 25) SELECT id, min(d) AS dist FROM r GROUP BY id")
+@register("graph_shortest_paths", f"WITH RECURSIVE {_E}, w AS (SELECT src, dst, 1.0::DOUBLE + (src * 7 + dst) % 5 AS weight FROM e), r AS (SELECT min(src) AS id, 0.0::DOUBLE AS d FROM u UNION SELECT w.dst, d + weight FROM r JOIN w ON w.src = r.id WHERE d + weight < 25) SELECT id, min(d) AS dist FROM r GROUP BY id")
 def graph_shortest_paths(spark, d):
     e = _edges(spark, d).withColumn("weight", F.lit(1.0) + (F.col("src") * 7 + F.col("dst")) % 5)
-    return graph.shortest_paths(e, 1).where("dist < 25")
+    return graph.shortest_paths(e, graph.vertices(e).agg(F.min("id")).first()[0])
 
 
 @register("graph_triangles", f"WITH {_E}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.dst < b.dst), v AS (SELECT unnest([x, y, z]) AS id FROM t) SELECT id, count(*) AS triangles FROM v GROUP BY 1")
@@ -399,15 +411,70 @@ def graph_neighbour_jaccard(spark, d):
     return _r(graph.neighbour_jaccard(_edges(spark, d)), 8)
 
 
-@register("graph_induced", f"WITH {_E} SELECT src, dst FROM e WHERE src < 20 AND dst < 20")
+@register("graph_induced", f"WITH {_E}, b AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase' AND value > 100) SELECT src, dst FROM e WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b)")
 def graph_induced(spark, d):
-    e = _edges(spark, d)
-    return graph.induced(e, graph.vertices(e).where("id < 20"))
+    buyers = read(spark, d, "events").where("event_type = 'purchase' AND value > 100").select(F.col("user_id").alias("id")).distinct()
+    return graph.induced(_edges(spark, d), buyers)
 
 
-@register("graph_line", f"WITH {_E}, n AS (SELECT src * 100 + dst AS id, src, dst FROM e WHERE src < 12), x AS (SELECT id, unnest([src, dst]) AS v FROM n) SELECT DISTINCT a.id AS i, b.id AS j FROM x a JOIN x b ON a.v = b.v AND a.id < b.id")
+@register("graph_line", f"WITH {_PLACES}, x AS (SELECT src AS id, unnest([src, dst]) AS v FROM p) SELECT a.id % 4 AS kind, count(DISTINCT (a.id, b.id)) AS n FROM x a JOIN x b ON a.v = b.v AND a.id < b.id GROUP BY 1")
 def graph_line(spark, d):
-    return graph.line_graph(_edges(spark, d).where("src < 12").withColumn("id", F.col("src") * 100 + F.col("dst")).select("id", "src", "dst"))
+    e = _places(spark, d).withColumn("id", F.col("src"))  # a place has one edge up
+    return graph.line_graph(e).groupBy((F.col("i") % 4).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@register("graph_closeness", f"""WITH RECURSIVE {_E}, r AS (SELECT src AS s, src AS id, 0 AS d FROM u WHERE src IN (SELECT user_id FROM events WHERE event_id % 997 = 0) UNION SELECT s, e.dst, d + 1 FROM r JOIN e ON e.src = r.id WHERE d < 8),
+ m AS (SELECT s, id, min(d) AS d FROM r GROUP BY 1, 2), k AS (SELECT s AS id, count(*) - 1 AS reached, sum(d) AS total FROM m GROUP BY 1), n AS (SELECT count(DISTINCT src) AS n FROM u)
+ SELECT id, round(CASE WHEN total > 0 THEN reached / total::DOUBLE * reached / (n - 1) ELSE 0 END, 8) AS closeness FROM k, n""")
+def graph_closeness(spark, d):
+    asked = read(spark, d, "events").where("event_id % 997 = 0").select(F.col("user_id").alias("id")).distinct()  # the vertices asked for
+    return _r(graph.closeness(_edges(spark, d), asked), 8)
+
+
+@register("graph_harmonic_diameter", f"""WITH RECURSIVE {_PLACES}, u AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), r AS (SELECT src AS s, src AS id, 0 AS d FROM u WHERE src % 4 < 2 UNION SELECT s, u.dst, d + 1 FROM r JOIN u ON u.src = r.id WHERE d < 8),
+ m AS (SELECT s, id, min(d) AS d FROM r GROUP BY 1, 2) SELECT s AS id, CAST(max(d) AS INTEGER) AS eccentricity FROM m GROUP BY 1""")
+def graph_harmonic_diameter(spark, d):
+    e = _places(spark, d)
+    return graph.eccentricities(e, graph.vertices(e).where("id % 4 < 2"))  # of the nations and regions
+
+
+@register("graph_eigenvector")
+def graph_eigenvector(spark, d):
+    return _r(graph.eigenvector(_edges(spark, d), 10), 6)
+
+
+@register("graph_hits")
+def graph_hits(spark, d):
+    return _r(graph.hits(_edges(spark, d), 8), 6)
+
+
+@register("graph_katz", f"""WITH {_E}, v AS (SELECT src AS id FROM u GROUP BY 1), a AS (SELECT v.id, 1 + 0.005::DOUBLE * count(e.src) AS k FROM v LEFT JOIN e ON e.dst = v.id GROUP BY 1),
+ b AS (SELECT v.id, 1 + 0.005::DOUBLE * coalesce(sum(a.k), 0) AS k FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN a ON a.id = e.src GROUP BY 1) SELECT id, round(k, 8) AS katz FROM b""")
+def graph_katz(spark, d):
+    return _r(graph.katz(_edges(spark, d), 0.005, 2), 8)
+
+
+@register("graph_betweenness")
+def graph_betweenness(spark, d):
+    asked = read(spark, d, "events").where("event_id % 997 = 0").select(F.col("user_id").alias("id")).distinct()  # the sources asked for
+    return _r(graph.betweenness(_edges(spark, d), asked), 6)
+
+
+@register("graph_strong_components", f"""WITH RECURSIVE {_E}, q AS (SELECT src, dst FROM e WHERE (src + dst) % 3 = 0), f AS (SELECT src AS a, src AS b FROM q UNION SELECT dst, dst FROM q UNION SELECT f.a, q.dst FROM f JOIN q ON q.src = f.b)
+ SELECT f.a AS id, min(g.a) AS component FROM f JOIN f g ON g.a = f.b AND g.b = f.a GROUP BY 1""")
+def graph_strong_components(spark, d):
+    return graph.strong_components(_edges(spark, d).where((F.col("src") + F.col("dst")) % 3 == 0))  # sparser, so that there are several
+
+
+@register("graph_neighbour_cosine", f"WITH {_E}, d AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1), k AS (SELECT a.src AS a, b.src AS b, count(*) AS k FROM u a JOIN u b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2) SELECT a, b, round(k / sqrt(x.d * y.d), 8) AS cosine FROM k JOIN d x ON x.id = a JOIN d y ON y.id = b")
+def graph_neighbour_cosine(spark, d):
+    return _r(graph.neighbour_cosine(_edges(spark, d)), 8)
+
+
+@register("graph_edge_subgraph", f"WITH {_E}, w AS (SELECT src, dst, 1.0::DOUBLE + (src * 7 + dst) % 5 AS weight FROM e) SELECT src, dst FROM w WHERE weight >= 4")
+def graph_edge_subgraph(spark, d):
+    e = _edges(spark, d).withColumn("weight", F.lit(1.0) + (F.col("src") * 7 + F.col("dst")) % 5)
+    return graph.edge_subgraph(e, min_weight=4.0).select("src", "dst")
 
 
 @register("graph_core_numbers")
