@@ -53,7 +53,7 @@ class _Best:
 
     def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.score[q], score]), np.concatenate([self.ids[q], ids])
-        order = np.lexsort((i, -s))
+        order = np.lexsort((i, ~s))  # ~s descends as s ascends, and cannot overflow
         s, i = s[order], i[order]
         _, once = np.unique(i, return_index=True)  # the first, so the best, of each id
         once.sort()
