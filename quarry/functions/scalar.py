@@ -149,3 +149,82 @@ def levenshtein_ratio(a, b) -> Column:
     """Edit distance over the longer length; both empty: 0."""
     m = F.greatest(F.length(_col(a)), F.length(_col(b)))
     return F.when(m == 0, 0.0).otherwise(F.levenshtein(_col(a), _col(b)) / m)
+
+
+def implied_volatility(price, spot, strike, rate, years, call: bool = True) -> Column:
+    """The volatility in (0, 5) at which Black-Scholes gives the price, by 50 halvings."""
+    p = _col(price)
+    span = F.aggregate(
+        F.sequence(F.lit(1), F.lit(50)),
+        F.struct(F.lit(0.0).alias("a"), F.lit(5.0).alias("b")),
+        lambda s, _: F.when(black_scholes(spot, strike, rate, (s["a"] + s["b"]) / 2, years, call) > p, F.struct(s["a"].alias("a"), ((s["a"] + s["b"]) / 2).alias("b"))).otherwise(F.struct(((s["a"] + s["b"]) / 2).alias("a"), s["b"].alias("b"))),
+    )
+    return (span["a"] + span["b"]) / 2
+
+
+def safe_pow(x, y) -> Column:
+    """x ** y; null where it is not a finite number."""
+    v = F.pow(_col(x).cast("double"), _col(y).cast("double"))
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def safe_exp(x) -> Column:
+    """e ** x; null where it overflows."""
+    v = F.exp(_col(x).cast("double"))
+    return F.when(v < float("inf"), v)
+
+
+def exponential_cdf(x, rate) -> Column:
+    return F.when(_col(x) < 0, 0.0).otherwise(1 - F.exp(-_col(rate) * _col(x)))
+
+
+def uniform_cdf(x, lo, hi) -> Column:
+    return F.least(F.greatest((_col(x) - _col(lo)) / (_col(hi) - _col(lo)), F.lit(0.0)), F.lit(1.0))
+
+
+def logistic_cdf(x, loc=0.0, scale=1.0) -> Column:
+    return 1 / (1 + F.exp(-(_col(x) - _col(loc)) / _col(scale)))
+
+
+def laplace_cdf(x, loc=0.0, scale=1.0) -> Column:
+    z = (_col(x) - _col(loc)) / _col(scale)
+    return F.when(z < 0, 0.5 * F.exp(z)).otherwise(1 - 0.5 * F.exp(-z))
+
+
+def weibull_cdf(x, shape, scale) -> Column:
+    return F.when(_col(x) < 0, 0.0).otherwise(1 - F.exp(-F.pow(_col(x) / _col(scale), _col(shape))))
+
+
+def pareto_cdf(x, shape, scale) -> Column:
+    return F.when(_col(x) < _col(scale), 0.0).otherwise(1 - F.pow(_col(scale) / _col(x), _col(shape)))
+
+
+def poisson_pmf(k, rate) -> Column:
+    """For whole k up to 170 (beyond it the factorial is no double); null for others."""
+    n, r = _col(k).cast("int"), _col(rate).cast("double")
+    logs = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    return F.when((n >= 0) & (n <= 170), F.exp(n * F.log(r) - r - logs))
+
+
+def binomial_pmf(k, n, p) -> Column:
+    """By the product of (n - k + i) / i, so no factorial overflows."""
+    kk, nn, q = _col(k).cast("int"), _col(n).cast("int"), _col(p).cast("double")
+    logs = F.aggregate(F.when(kk > 0, F.sequence(F.lit(1), kk)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.log((nn - kk + i) / i))
+    return F.when((kk >= 0) & (kk <= nn), F.exp(logs + kk * F.log(q) + (nn - kk) * F.log1p(-q)))
+
+
+def van_der_corput(i, base: int = 2) -> Column:
+    """The i-th number of the van der Corput sequence: the digits of i in the base, mirrored at the point."""
+    d = F.aggregate(F.sequence(F.lit(1), F.lit(40 if base == 2 else 30)), F.struct(_col(i).cast("long").alias("n"), F.lit(0.0).alias("x"), F.lit(1.0).alias("f")), lambda s, _: F.struct(F.floor(s["n"] / base).alias("n"), (s["x"] + (s["n"] % base) * s["f"] / base).alias("x"), (s["f"] / base).alias("f")))
+    return d["x"]
+
+
+def halton(i, dimensions: int) -> list[Column]:
+    """The i-th point of the Halton sequence, a column a dimension (bases: the first primes)."""
+    primes: list[int] = []
+    c = 2
+    while len(primes) < dimensions:
+        if all(c % p for p in primes):
+            primes.append(c)
+        c += 1
+    return [van_der_corput(i, p) for p in primes]

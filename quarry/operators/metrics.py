@@ -116,3 +116,33 @@ def psi(df: DataFrame, x: str, new: str, bins: int = 10) -> DataFrame:
     t = F.broadcast(g.agg(F.sum("n").alias("_new"), F.sum("o").alias("_old")))  # one row
     p, q = F.greatest(F.col("n") / F.col("_new"), F.lit(1e-6)), F.greatest(F.col("o") / F.col("_old"), F.lit(1e-6))
     return g.crossJoin(t).agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
+
+
+def one_vs_one(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(a, b, accuracy, precision, recall, f1) of each pair of true classes a < b, over the rows that truly are one of them; a counts as positive.
+
+    From the confusion table, so pairs are of classes, never of rows.
+    """
+    c = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("t"), F.col(p).alias("f")).agg(F.count("*").alias("n"))
+    classes = c.select(F.col("t").alias("k")).distinct()
+    pairs = classes.select(F.col("k").alias("a")).join(F.broadcast(classes.select(F.col("k").alias("b"))), F.expr("a < b"))  # classes
+    j = pairs.join(c, (F.col("t") == F.col("a")) | (F.col("t") == F.col("b")))
+    s = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    is_ = lambda u, v: (F.col("t") == F.col(u)) & F.coalesce(F.col("f") == F.col(v), F.lit(False))
+    g = j.groupBy("a", "b").agg(F.sum("n").alias("n"), s(is_("a", "a")).alias("tp"), s(is_("b", "b")).alias("tn"), s(is_("b", "a")).alias("fp"), s(F.col("t") == F.col("a")).alias("pos"))
+    z = lambda u, v: F.coalesce(F.try_divide(u, v), F.lit(0.0))
+    pr, re = z(F.col("tp"), F.col("tp") + F.col("fp")), z(F.col("tp"), F.col("pos"))
+    return g.select("a", "b", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), pr.alias("precision"), re.alias("recall"), z(2 * pr * re, pr + re).alias("f1"))
+
+
+def nmi(df: DataFrame, truth: str, found: str) -> DataFrame:
+    """Normalised mutual information by the arithmetic, geometric, least and greatest mean of both entropies; 0 where that mean is 0."""
+    n = df.groupBy(F.col(truth).alias("t"), F.col(found).alias("f")).agg(F.count("*").cast("double").alias("n"))
+    total = F.broadcast(n.agg(F.sum("n").alias("z")))  # one row
+    a, b = n.groupBy("t").agg(F.sum("n").alias("a")), n.groupBy("f").agg(F.sum("n").alias("b"))
+    mi = n.join(a, "t").join(b, "f").crossJoin(total).agg(F.sum(F.col("n") / F.col("z") * F.log(F.col("n") * F.col("z") / (F.col("a") * F.col("b")))).alias("mi"))
+    h = lambda d, c: d.crossJoin(total).agg((-F.sum(F.col(c) / F.col("z") * F.log(F.col(c) / F.col("z")))).alias(f"h{c}"))
+    x = mi.crossJoin(F.broadcast(h(a, "a"))).crossJoin(F.broadcast(h(b, "b")))  # one row each
+    over = lambda m: F.coalesce(F.try_divide("mi", m), F.lit(0.0))
+    ha, hb = F.col("ha"), F.col("hb")
+    return x.select(over((ha + hb) / 2).alias("arithmetic"), over(F.sqrt(ha * hb)).alias("geometric"), over(F.least(ha, hb)).alias("least"), over(F.greatest(ha, hb)).alias("greatest"))

@@ -257,3 +257,80 @@ def spectrum(df: DataFrame, by: list[str], order: str, x: str) -> DataFrame:
         return pd.DataFrame({**{b: [g[b].iloc[0]] * len(p) for b in by}, "freq": np.arange(len(p), dtype=np.int32), "power": p})
 
     return df.groupBy(*by).applyInPandas(kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.fields) + ", freq int, power double")
+
+
+# more finance and signal operators
+
+
+def rolling_performance(df: DataFrame, by: list[str], order: str, r: str, w: int, periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+    """Return, annualised volatility and Sharpe ratio of the last w returns; only full windows stay."""
+    f = _w(by, order).rowsBetween(1 - w, 0)
+    year = F.sqrt(F.lit(float(periods)))
+    s = F.stddev_samp(r).over(f)
+    out = df.select(*by, order, F.count(r).over(f).alias("_n"), (F.exp(F.sum(F.log1p(r)).over(f)) - 1).alias("total_return"), (s * year).alias("volatility"), F.try_divide(F.avg(r).over(f) - risk_free / periods, s).alias("_s"))
+    return out.where(F.col("_n") == w).select(*by, order, "total_return", "volatility", (F.col("_s") * year).alias("sharpe"))
+
+
+def macd(df: DataFrame, by: list[str], order: str, x: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """macd (difference of exponential means of spans fast and slow), signal (its own of span signal) and histogram."""
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        mean = lambda v, n: v.ewm(span=n, adjust=False).mean()
+        line = mean(g[x], fast) - mean(g[x], slow)
+        sign = mean(line, signal)
+        return g.assign(macd=line, signal=sign, histogram=line - sign)
+
+    return _per_series(df, by, order, kernel, "macd double, signal double, histogram double")
+
+
+def atr(df: DataFrame, by: list[str], order: str, high: str, low: str, close: str, w: int = 14) -> DataFrame:
+    """Average true range: mean of the last w of max(high - low, |high - previous close|, |low - previous close|)."""
+    o = _w(by, order)
+    last = F.lag(close).over(o)
+    d = df.withColumn("_t", F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - last), F.abs(F.col(low) - last)))
+    f = o.rowsBetween(1 - w, 0)
+    return d.withColumn("atr", F.when(F.count("_t").over(f) == w, F.avg("_t").over(f))).drop("_t")
+
+
+def volume_indicators(df: DataFrame, by: list[str], order: str, price: str, volume: str) -> DataFrame:
+    """obv (volume added on a rise, taken away on a fall) and vwap (running volume-weighted price)."""
+    o = _w(by, order)
+    d = df.withColumn("_v", F.coalesce(F.signum(F.col(price) - F.lag(price).over(o)), F.lit(0.0)) * F.col(volume))
+    f = o.rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("obv", F.sum("_v").over(f)).withColumn("vwap", F.sum(F.col(price) * F.col(volume)).over(f) / F.sum(volume).over(f)).drop("_v")
+
+
+def cross_correlation(df: DataFrame, by: list[str], order: str, x: str, y: str, lag: int) -> DataFrame:
+    """sum((x[t - lag] - mx)(y[t] - my)) / (n sx sy) with the moments of the whole series."""
+    a = Window.partitionBy(*by)
+    c = df.select(*by, order, (F.col(x) - F.avg(x).over(a)).alias("a"), (F.col(y) - F.avg(y).over(a)).alias("b"))
+    p = c.withColumn("p", F.lag("a", lag).over(_w(by, order)) * F.col("b"))
+    return p.groupBy(*by).agg(F.try_divide(F.sum("p"), F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2))).alias("ccf"))
+
+
+def robust_trend(df: DataFrame, by: list[str], order: str, x: str, half: int, level: float = 1.96) -> DataFrame:
+    """trend (median of 2 half + 1 rows, shorter at the ends) and lower, upper (its bounds by the standard deviation of what is left)."""
+    near = F.array_sort(F.collect_list(F.col(x).cast("double")).over(_w(by, order).rowsBetween(-half, half)))  # 2 half + 1 values
+    m = df.withColumn("_a", near).withColumn("trend", (F.get("_a", F.floor((F.size("_a") - 1) / 2).cast("int")) + F.get("_a", F.floor(F.size("_a") / 2).cast("int"))) / 2).drop("_a")
+    s = F.stddev_samp(F.col(x) - F.col("trend")).over(Window.partitionBy(*by))
+    return m.withColumn("lower", F.col("trend") - level * s).withColumn("upper", F.col("trend") + level * s)
+
+
+def snr(df: DataFrame, by: list[str], signal: str, noisy: str) -> DataFrame:
+    """Signal-to-noise ratio in decibels of a signal and its noisy copy."""
+    e = F.col(noisy) - F.col(signal)
+    return df.groupBy(*by).agg((10 * F.log10(F.try_divide(F.sum(F.col(signal) ** 2), F.sum(e * e)))).alias("snr_db"))
+
+
+def resample(df: DataFrame, by: list[str], ts: str, width: str, aggs: dict[str, Column]) -> DataFrame:
+    """(keys, start, ...): aggregates of time buckets of the given width."""
+    return df.groupBy(*by, F.window(ts, width).start.alias("start")).agg(*(c.alias(k) for k, c in aggs.items()))
+
+
+def robust_zscores(df: DataFrame, by: list[str], x: str, threshold: float = 3.5) -> DataFrame:
+    """Rows whose modified z, 0.6745 (x - median) / mad, exceeds the threshold, with ``z``."""
+    from quarry.operators import state, stats
+
+    m = state.quantiles(df, x, [0.5], by).withColumnRenamed("q0", "_m")
+    d = state.attach(state.attach(df, m, by), stats.mad(df, x, by).withColumnRenamed("mad", "_d"), by)
+    return d.where("_d > 0").withColumn("z", 0.6745 * (F.col(x) - F.col("_m")) / F.col("_d")).where(F.abs("z") > threshold).drop("_m", "_d")

@@ -50,8 +50,14 @@ def ngrams(tokens: Column, lo: int, hi: int | None = None) -> Column:
 
 
 def char_ngrams(text, n: int) -> Column:
-    t = F.col(text) if isinstance(text, str) else text
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
+    """Runs of n characters; the text is split once, so long texts cost no more a character than short ones."""
+    c = F.split(F.col(text) if isinstance(text, str) else text, "")
+    c = F.filter(c, lambda x: x != "")
+    shift = lambda k: F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - (n - 1), F.lit(0)))
+    out = shift(0)
+    for k in range(1, n):
+        out = F.zip_with(out, shift(k), lambda a, b: F.concat(a, b))
+    return F.when(F.size(c) >= n, out).otherwise(F.array().cast("array<string>"))
 
 
 def clean(text, stopwords: list[str] | None = None) -> Column:

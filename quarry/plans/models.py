@@ -16,21 +16,6 @@ def _r(frame, digits: int = 6, /, **own):
 # sampling and scaling
 
 
-@register("sample_stratified")
-def sample_stratified(spark, d):
-    return sampling.stratified_sample(read(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 102, 1)
-
-
-@register("sample_random")
-def sample_random(spark, d):
-    return sampling.random_sample(read(spark, d, "customer").select("c_custkey"), "c_custkey", 50, 3)
-
-
-@register("sample_importance")
-def sample_importance(spark, d):
-    return sampling.importance_sample(read(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", "p_size", 40, 3)
-
-
 @register("split_train_test", "SELECT CAST(floor(count(*) * 0.25 + 0.5) AS BIGINT) AS test, count(*) - CAST(floor(count(*) * 0.25 + 0.5) AS BIGINT) AS train FROM orders")
 def split_train_test(spark, d):
     s = sampling.train_test_split(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.25, 1)
@@ -438,14 +423,31 @@ def graph_harmonic_diameter(spark, d):
     return graph.eccentricities(e, graph.vertices(e).where("id % 4 < 2"))  # of the nations and regions
 
 
-@register("graph_eigenvector")
+def _eigen_sql(rounds: int) -> str:
+    out, last = ["x0 AS (SELECT src AS id, 1.0::DOUBLE AS s FROM u GROUP BY 1)"], "x0"
+    for k in range(1, rounds + 1):
+        out.append(f"g{k} AS (SELECT v.id, any_value(v.s) + coalesce(sum(w.s), 0) AS s FROM {last} v LEFT JOIN u ON u.dst = v.id LEFT JOIN {last} w ON w.id = u.src GROUP BY v.id), x{k} AS (SELECT id, s / (SELECT sqrt(sum(s * s)) FROM g{k}) AS s FROM g{k})")
+        last = f"x{k}"
+    return f"WITH {_E}, {', '.join(out)} SELECT id, round(s, 6) AS score FROM {last}"
+
+
+@register("graph_eigenvector", _eigen_sql(4))
 def graph_eigenvector(spark, d):
-    return _r(graph.eigenvector(_edges(spark, d), 10), 6)
+    return _r(graph.eigenvector(_edges(spark, d), 4), 6)
+
 
+def _hits_sql(rounds: int) -> str:
+    out, last = ["h0 AS (SELECT src AS id, 1.0::DOUBLE AS h FROM u GROUP BY 1)"], "h0"
+    for k in range(1, rounds + 1):
+        out.append(f"p{k} AS (SELECT v.id, coalesce(sum(w.h), 0) AS a FROM {last} v LEFT JOIN e ON e.dst = v.id LEFT JOIN {last} w ON w.id = e.src GROUP BY v.id), a{k} AS (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM p{k}) AS a FROM p{k})")
+        out.append(f"q{k} AS (SELECT v.id, any_value(v.a) AS a, coalesce(sum(w.a), 0) AS h FROM a{k} v LEFT JOIN e ON e.src = v.id LEFT JOIN a{k} w ON w.id = e.dst GROUP BY v.id), h{k} AS (SELECT id, a, h / (SELECT sqrt(sum(h * h)) FROM q{k}) AS h FROM q{k})")
+        last = f"h{k}"
+    return f"WITH {_E}, {', '.join(out)} SELECT id, round(h, 6) AS hub, round(a, 6) AS authority FROM {last}"
 
-@register("graph_hits")
+
+@register("graph_hits", _hits_sql(3))
 def graph_hits(spark, d):
-    return _r(graph.hits(_edges(spark, d), 8), 6)
+    return _r(graph.hits(_edges(spark, d), 3), 6)
 
 
 @register("graph_katz", f"""WITH {_E}, v AS (SELECT src AS id FROM u GROUP BY 1), a AS (SELECT v.id, 1 + 0.005::DOUBLE * count(e.src) AS k FROM v LEFT JOIN e ON e.dst = v.id GROUP BY 1),
@@ -482,17 +484,32 @@ def graph_core_numbers(spark, d):
     return graph.core_numbers(_all_edges(spark, d))
 
 
-@register("graph_spanning_forest")
+@register("graph_spanning_forest", f"WITH {_PLACES} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, 1.0::DOUBLE + src % 3 AS weight FROM p")
 def graph_spanning_forest(spark, d):
-    return graph.spanning_forest(_all_edges(spark, d).withColumn("weight", F.lit(1.0) + (F.col("src") * 7 + F.col("dst")) % 5))
+    """Places and the place above them, and a dearer way from each customer and supplier to the region above its nation."""
+    p = _places(spark, d)
+    up = p.select(F.col("src").alias("dst"), F.col("dst").alias("top"))
+    far = p.join(up, "dst").select("src", F.col("top").alias("dst"), F.lit(9.0).alias("weight"))
+    return graph.spanning_forest(p.select("src", "dst", (F.lit(1.0) + F.col("src") % 3).alias("weight")).unionByName(far))
+
+
+def _label_sql(rounds: int) -> str:
+    out, last = ["l0 AS (SELECT src AS id, src AS label FROM u GROUP BY 1)"], "l0"
+    for k in range(1, rounds + 1):
+        out.append(f"c{k} AS (SELECT u.dst AS id, l.label, count(*) AS n FROM u JOIN {last} l ON l.id = u.src GROUP BY 1, 2), l{k} AS (SELECT id, label FROM c{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1)")
+        last = f"l{k}"
+    return f"WITH {_E}, {', '.join(out)} SELECT id, label FROM {last}"
 
 
-@register("graph_label_propagation")
+@register("graph_label_propagation", _label_sql(4))
 def graph_label_propagation(spark, d):
-    return graph.label_propagation(_all_edges(spark, d), 4)
+    return graph.label_propagation(_edges(spark, d), 4)
 
 
-@register("cluster_dbscan")
+@register("cluster_dbscan", f"""WITH RECURSIVE {_P}, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.5), c AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) + 1 >= 4),
+ k AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)), r AS (SELECT id, id AS m FROM c UNION SELECT k.b, r.m FROM r JOIN k ON k.a = r.id WHERE r.m < k.b), l AS (SELECT id, min(m) AS m FROM r GROUP BY 1), z AS (SELECT l.id, min(q.m) AS cluster FROM l JOIN r q ON q.id = l.id GROUP BY 1),
+ f AS (SELECT e.b AS id, min(z.cluster) AS cluster FROM e JOIN z ON z.id = e.a WHERE e.b NOT IN (SELECT id FROM c) GROUP BY 1)
+ SELECT p.id, coalesce(z.cluster, f.cluster, -1) AS cluster, z.id IS NOT NULL AS core FROM p LEFT JOIN z ON z.id = p.id LEFT JOIN f ON f.id = p.id""")
 def cluster_dbscan(spark, d):
     return cluster.dbscan(_points(spark, d), "id", "x", "y", 1.5, 4)
 

@@ -55,7 +55,7 @@ def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from quarry.plans import models, statistics, texts, timeseries  # noqa: F401
+    from quarry.plans import models, more, statistics, texts, timeseries  # noqa: F401
 
 
 load()

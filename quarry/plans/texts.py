@@ -85,9 +85,12 @@ def text_tfidf_raw(spark, d):
     return text.tfidf(read(spark, d, "benchmark"), "item_id", text.words("text"), smooth=False, l2=False, plus_one=False).withColumn("weight", F.round("weight", 8))
 
 
-@register("text_hashing")
+@register("text_hashing", f"SELECT item_id, CAST(len({_WORDS}) AS BIGINT) AS n_tokens, true AS inside FROM benchmark WHERE len({_WORDS}) > 0")
 def text_hashing(spark, d):
-    return text.hashing_counts(read(spark, d, "benchmark"), "item_id", text.words("text"), 256)
+    """Sums and ranges of the hashed counts: the hash itself is not SQL's."""
+    h = text.hashing_counts(read(spark, d, "benchmark"), "item_id", text.words("text"), 256)
+    slot, n = [c for c in h.columns if c != "item_id"][:2]
+    return h.groupBy("item_id").agg(F.sum(n).cast("long").alias("n_tokens"), F.min(F.col(slot).between(0, 255)).alias("inside"))
 
 
 _SYL = "list_transform(w, lambda x: CASE WHEN octet_length(encode(x)) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(regexp_replace(x, '(es|ed|e)$', ''), '[aeiouy]+')), 1) END)"
@@ -167,9 +170,17 @@ def text_centroid_summary(spark, d):
     return text.centroid_summary(read(spark, d, "benchmark"), "item_id", "text", 3).select("item_id", F.md5(F.col("summary").cast("binary")).alias("h"))
 
 
-@register("text_textrank_summary")
+def _rank_sql(rounds: int) -> str:
+    out = [""", sim AS (SELECT a.item_id, a.pos AS a, b.pos AS b, sum(a.w * b.w) AS w FROM v a JOIN v b ON a.item_id = b.item_id AND a.t = b.t AND a.pos <> b.pos GROUP BY 1, 2, 3), e AS (SELECT item_id, a, b, w / sum(w) OVER (PARTITION BY item_id, a) AS p FROM sim),
+ n0 AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), r0 AS (SELECT item_id, pos, 1.0::DOUBLE / n AS r FROM s JOIN n0 USING (item_id))"""]
+    for k in range(1, rounds + 1):
+        out.append(f"r{k} AS (SELECT x.item_id, x.pos, 0.15 / any_value(n) + 0.85 * coalesce(sum(e.p * y.r), 0) AS r FROM r{k - 1} x JOIN n0 ON n0.item_id = x.item_id LEFT JOIN e ON e.item_id = x.item_id AND e.b = x.pos LEFT JOIN r{k - 1} y ON y.item_id = x.item_id AND y.pos = e.a GROUP BY 1, 2)")
+    return _SENT + _VEC + ", ".join(out) + f", sc AS (SELECT item_id, pos, round(r, 9) AS score FROM r{rounds})" + _PICK
+
+
+@register("text_textrank_summary", _rank_sql(4))
 def text_textrank_summary(spark, d):
-    return text.textrank_summary(read(spark, d, "benchmark"), "item_id", "text", 3)
+    return text.textrank_summary(read(spark, d, "benchmark"), "item_id", "text", 3, rounds=4).select("item_id", F.md5(F.col("summary").cast("binary")).alias("h"))
 
 
 @register("text_keywords", f"""WITH e AS (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM e GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
@@ -183,12 +194,12 @@ def text_max_features(spark, d):
     return text.most_frequent_terms(read(spark, d, "documents"), "doc_id", text.words("text"), 100)
 
 
-_TRI = "list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr(lower({0}), i, 3))"
+_TRI = "list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])"
 
 
-@register("text_language_profiles", f"""WITH g AS (SELECT lang, unnest({_TRI.format("text")}) AS gram FROM documents WHERE length(text) >= 3), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
+@register("text_language_profiles", f"""WITH g AS (SELECT lang, unnest({_TRI}) AS gram FROM (SELECT lang, string_split(lower(text), '') AS c FROM documents) WHERE len(c) >= 3), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
  p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS rank FROM c QUALIFY rank < 300),
- o0 AS (SELECT conv_id * 1000 + turn AS id, unnest({_TRI.format("text")}) AS gram FROM conversations WHERE length(text) >= 3), o1 AS (SELECT id, gram, count(*) AS n FROM o0 GROUP BY 1, 2),
+ o0 AS (SELECT conv_id * 1000 + turn AS id, unnest({_TRI}) AS gram FROM (SELECT conv_id, turn, string_split(lower(text), '') AS c FROM conversations) WHERE len(c) >= 3), o1 AS (SELECT id, gram, count(*) AS n FROM o0 GROUP BY 1, 2),
  o AS (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY n DESC, gram) - 1 AS r FROM o1 QUALIFY r < 300), m AS (SELECT id, count(*) AS m FROM o GROUP BY 1),
  x AS (SELECT id, lang, sum(abs(r - rank) - 300) AS less FROM o JOIN p USING (gram) GROUP BY 1, 2), l AS (SELECT DISTINCT lang FROM p),
  d AS (SELECT id, l.lang, CAST(m * 300 + coalesce(less, 0) AS BIGINT) AS distance FROM m CROSS JOIN l LEFT JOIN x USING (id, lang))

@@ -144,9 +144,17 @@ def series_ewma(spark, d):
     return _r(series.ewma(daily(spark, d), ["k"], "day", "n", 0.3).select("k", "day", "ewma"), 6)
 
 
-@register("series_holt_winters")
+_HW = f"""WITH RECURSIVE {_D}, i AS (SELECT k, day, x, row_number() OVER (PARTITION BY k ORDER BY day) - 1 AS t, count(*) OVER (PARTITION BY k) AS n FROM d),
+ q AS (SELECT k, list(x ORDER BY t) AS v FROM i WHERE t < 10 GROUP BY k),
+ z AS (SELECT k, CASE WHEN len(v) >= 7 THEN list_transform(v[1:7], lambda y: y - list_avg(v[1:7])) ELSE [0.0::DOUBLE, 0, 0, 0, 0, 0, 0] END AS s, CASE WHEN len(v) > 1 THEN (v[len(v)] - v[1]) / (len(v) - 1) ELSE 0 END AS tr FROM q),
+ h AS (SELECT i.k, i.day, i.t, i.x AS level, z.tr AS trend, list_concat(z.s[2:7], [0.2 * (i.x - i.x) + 0.8 * z.s[1]]) AS s FROM i JOIN z USING (k) WHERE t = 0 UNION ALL
+  SELECT i.k, i.day, i.t, y.l, 0.1 * (y.l - h.level) + 0.9 * h.trend, list_concat(h.s[2:7], [0.2 * (i.x - y.l) + 0.8 * h.s[1]]) FROM h JOIN i ON i.k = h.k AND i.t = h.t + 1, LATERAL (SELECT 0.3 * (i.x - h.s[1]) + 0.7 * (h.level + h.trend) AS l) y)
+ SELECT k, day, round(level, 2) AS level, round(trend, 2) AS trend, round(s[7], 2) AS seasonal FROM h"""
+
+
+@register("series_holt_winters", _HW)
 def series_holt_winters(spark, d):
-    return series.holt_winters(daily(spark, d), ["k"], "day", "x", 7, 0.3, 0.1, 0.2)
+    return _r(series.holt_winters(daily(spark, d), ["k"], "day", "x", 7, 0.3, 0.1, 0.2).select("k", "day", "level", "trend", "seasonal"), 2)
 
 
 @register("series_stl")
@@ -154,6 +162,7 @@ def series_stl(spark, d):
     return series.stl(daily(spark, d), ["k"], "day", "x", 7)
 
 
-@register("series_spectrum")
+@register("series_spectrum", f"""WITH {_D}, i AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY day) - 1 AS t, count(*) OVER (PARTITION BY k) AS m FROM d), f AS (SELECT k, any_value(m) AS m, unnest(range(0, any_value(m) // 2 + 1)) AS freq FROM i GROUP BY k)
+ SELECT i.k, CAST(freq AS INTEGER) AS freq, round(pow(sum(n * cos(2 * pi() * ((freq * t) % f.m) / f.m)), 2) + pow(sum(n * sin(2 * pi() * ((freq * t) % f.m) / f.m)), 2), 3) AS power FROM i JOIN f ON f.k = i.k GROUP BY 1, 2""")
 def series_spectrum(spark, d):
-    return series.spectrum(daily(spark, d), ["k"], "day", "n")
+    return _r(series.spectrum(daily(spark, d), ["k"], "day", "n"), 3)
