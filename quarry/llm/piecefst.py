@@ -1,20 +1,30 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled to a transducer: the normaliser (identity; white
-space escaped to U+2581 and, if the model says so, a dummy prefix) feeds a trie
-of the pieces whose final states emit ids, with arcs for byte fallback. An
-input is composed with it position by position, and the best path in the
-tropical semiring (min, +) is its encoding:
-
-- unigram models: a piece weighs the negative of its score;
-- BPE models: a piece weighs nothing, and the arc from one piece to the next
-  weighs 0 where BPE keeps the two side by side and 1 where it would have
-  merged across their border. BPE decides each border from the two pieces next
-  to it, so its encoding is the path of weight 0.
+The model file is compiled to a cascade of transducers:
+
+1. the normaliser: the model's character map (a double-array automaton over
+   bytes, whose longest match is rewritten; without one every character copies
+   itself), white space squeezed and escaped to U+2581, a dummy prefix, all as
+   the model says; user-defined pieces pass through as they are;
+2. the pieces: a trie whose final states emit ids, with arcs that spell a
+   character that is no piece in bytes (or as unknown).
+
+An input is composed with it arc by arc, as the search needs them, and the
+shortest path in the tropical semiring (min, +) is its encoding:
+
+- unigram models: a piece weighs the negative of its score, states are
+  positions, and the path is found in their order;
+- BPE models: states are (position, last piece), and the arc from one piece to
+  the next weighs 0 where BPE keeps the two side by side and 1 where it would
+  have merged across their border. The search takes states by weight, a level
+  after the other. BPE decides each border from the two pieces next to it, so
+  its encoding is the path of weight 0.
 
 No piece reaches across a border before white space or around a character
 that no longer piece has, so a text falls into short stretches, whose
-encodings a worker remembers (a bounded memory, cleared when full).
+encodings a worker remembers (a bounded memory, cleared when full). Equal
+weights go to the path whose pieces start first. Rows that share an id are
+encoded one by one; a very long text is one piece of work.
 
 A null text has null ids; an empty one none. Decoding joins the pieces, turns
 U+2581 to a space and drops the dummy prefix, so only texts with a literal
@@ -80,30 +90,79 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise ValueError("not a model file")
 
 
+class Rules:
+    """A character map: the longest key at a place is rewritten. The map is a double array of 32-bit units over UTF-8 bytes."""
+
+    def __init__(self, blob: bytes):
+        (size,) = struct.unpack_from("<I", blob)
+        self.units, self.text = array("I", blob[4 : 4 + size]), blob[4 + size :]
+
+    def match(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """(end, replacement) of the longest key that starts here."""
+        units, found = self.units, None
+        unit = units[0]
+        node = (unit >> 10) << ((unit & 512) >> 6)
+        for i in range(at, len(data)):
+            node ^= data[i]
+            unit = units[node]
+            if unit & 0x800000FF != data[i]:
+                break
+            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                start = units[node] & 0x7FFFFFFF
+                found = i + 1, self.text[start : self.text.index(0, start)]
+        return found
+
+    def rewrite(self, text: str, keep: re.Pattern | None) -> str:
+        """The output for a text; what ``keep`` matches is copied."""
+        kept = {len(text[: m.start()].encode()): m.group().encode() for m in keep.finditer(text)} if keep else {}
+        data, out, at = text.encode("utf-8", "replace"), bytearray(), 0
+        while at < len(data):
+            if at in kept:
+                out += kept[at]
+                at += len(kept[at])
+                continue
+            hit = self.match(data, at)
+            if hit is None:
+                end = at + 1
+                while end < len(data) and data[end] & 0xC0 == 0x80:
+                    end += 1
+                hit = end, data[at:end]
+            at = hit[0]
+            out += hit[1]
+        return out.decode("utf-8", "replace")
+
+
 class Transducer:
     """A compiled model."""
 
+    rules: Rules | None = None
+    user: re.Pattern | None = None
+
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.model_type, self.fallback, self.prefix, self.squeeze, self.escape = UNIGRAM, False, True, True, True
-        for k, v in _fields(model):
+        trainer: dict = {}
+        normaliser: dict = {}
+        for k, v in _fields(model):  # a message that comes again adds to the first
             if k == 1:
                 f = dict(_fields(v))
                 self.pieces.append(f.get(1, b"").decode())
                 self.scores.append(struct.unpack("<f", f[2])[0] if 2 in f else 0.0)
                 self.kinds.append(f.get(3, NORMAL))
             elif k == 2:
-                f = dict(_fields(v))
-                self.model_type, self.fallback = f.get(3, UNIGRAM), bool(f.get(35, 0))
+                trainer.update(_fields(v))
             elif k == 3:
-                f = dict(_fields(v))
-                if f.get(2):
-                    raise NotImplementedError("only the identity normaliser is compiled")
-                self.prefix, self.squeeze, self.escape = bool(f.get(3, 1)), bool(f.get(4, 1)), bool(f.get(5, 1))
-        if self.model_type not in (UNIGRAM, BPE) or USER in self.kinds:
-            raise NotImplementedError("unigram and BPE models without user-defined pieces")
+                normaliser.update(_fields(v))
+        self.model_type, self.fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
+        self.rules = Rules(normaliser[2]) if normaliser.get(2) else None
+        self.prefix, self.squeeze, self.escape = (bool(normaliser.get(i, 1)) for i in (3, 4, 5))
+        if self.model_type not in (UNIGRAM, BPE):
+            raise ValueError("the model is neither unigram nor BPE")
+        self.user_id = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == USER}
+        if self.user_id:
+            self.user = re.compile("(" + "|".join(map(re.escape, sorted(self.user_id, key=len, reverse=True))) + ")")
         self.id_of = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes_ = [self.pieces.index(f"<0x{b:02X}>") for b in range(256)] if self.fallback else []
@@ -113,6 +172,12 @@ class Transducer:
         self.split: dict[str, tuple[str, str]] = {}
         # BPE never makes a piece that its own merges do not lead to
         live = [p for p in self.id_of if self.model_type == UNIGRAM or len(self.merged(p)) == 1]
+        if self.model_type == UNIGRAM and self.user_id:  # they compete with a score that hardly loses
+            top = max((self.scores[i] for i in self.id_of.values()), default=0.0)
+            for p, i in self.user_id.items():
+                self.scores[i] = len(p.encode()) * top - 0.1
+            live, self.id_of = [*live, *self.user_id], {**self.id_of, **self.user_id}
+        self.low = min((self.scores[i] for i, k in enumerate(self.kinds) if k == NORMAL), default=0.0) - 10.0
         self.trie: dict = {}
         inner: set[str] = set()
         for p in live:
@@ -196,41 +261,49 @@ class Transducer:
             out.insert(0, (i + 1, -1))
         return out
 
-    def weightless(self, s: str) -> list[int] | None:
-        """The path of weight 0 through a BPE lattice, depth first with long pieces first; None if there is none.
-
-        A prefix has one path of weight 0 at most (its own encoding), so no position is tried twice.
-        """
-        n, tried = len(s), bytearray(len(s) + 1)
-        stack, taken, last, open_ = [], [], -1, self.arcs(s, 0)
+    def by_levels(self, s: str) -> list[int]:
+        """The shortest path of a BPE stretch: arcs weigh 0 or 1, so states are taken level by level, long pieces first."""
+        n, width = len(s), len(self.pieces) + 1
+        came: list[tuple[int, int, int]] = [(-1, -1, 0)]  # (state before, piece or -1 for a spelled character, position)
+        seen: set[int] = set()
+        now: list[tuple[int, int, int, bool]] = [(0, j, k, True) for j, k in self.arcs(s, 0)]
+        later: list[tuple[int, int, int, bool]] = []
         while True:
-            while open_:
-                j, k = open_.pop()
-                if tried[j] or (last >= 0 and k >= 0 and not self.border(last, k)):
+            while now:
+                before, j, k, paid = now.pop()
+                if j * width + k in seen:
                     continue
-                taken.append((k, j))
+                last = came[before][1]
+                if not paid and last >= 0 and k >= 0 and not self.border(last, k):
+                    later.append((before, j, k, True))  # an arc of weight 1 waits for the next level
+                    continue
+                seen.add(j * width + k)
+                came.append((before, k, j))
                 if j == n:
-                    ids, at = [], 0
-                    for k, j in taken:
-                        if k >= 0:
-                            ids.append(k)
-                        else:
-                            ids.extend(self.spell(s[at:j]))
-                        at = j
-                    return ids
-                stack.append((last, open_))
-                tried[j], last, open_ = 1, k, self.arcs(s, j)
-                break
+                    return self.labels(s, came)
+                at = len(came) - 1
+                now += [(at, j2, k2, False) for j2, k2 in self.arcs(s, j)]
+            now, later = later[::-1], []
+
+    def labels(self, s: str, came: list[tuple[int, int, int]]) -> list[int]:
+        """The outputs along the path to the last state."""
+        steps, at = [], len(came) - 1
+        while at:
+            steps.append((came[at][1], came[at][2]))
+            at = came[at][0]
+        ids, at = [], 0
+        for k, j in reversed(steps):
+            if k >= 0:
+                ids.append(k)
             else:
-                if not stack:
-                    return None
-                last, open_ = stack.pop()
-                taken.pop()
+                ids.extend(self.spell(s[at:j]))
+            at = j
+        return ids
 
     def path(self, s: str) -> list[int]:
-        """The best path through one stretch, by fragments that no piece joins."""
+        """The shortest path through one stretch, by fragments that no piece joins."""
         if self.model_type != BPE:
-            return self.least(s)
+            return self.by_positions(s)
         ids: list[int] = []
         joins, at = self.joins, 0
         for i in range(1, len(s) + 1):
@@ -238,9 +311,7 @@ class Transducer:
                 part = s[at:i]
                 got = self.fragments.get(part)
                 if got is None:
-                    got = self.weightless(part)
-                    if got is None:
-                        got = self.least(part)
+                    got = self.by_levels(part)
                     if len(part) <= 64:
                         if len(self.fragments) >= MEMORY // 2:
                             self.fragments.clear()
@@ -249,38 +320,18 @@ class Transducer:
                 at = i
         return ids
 
-    def least(self, s: str) -> list[int]:
-        """The path of the least weight, position by position."""
+    def by_positions(self, s: str) -> list[int]:
+        """The shortest path of a unigram stretch, position by position."""
         n = len(s)
-        bpe = self.model_type == BPE
-        low = 0.0 if bpe else min(self.scores) - 10.0
         weight = [float("inf")] * (n + 1)
         weight[0] = 0.0
         came: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # (from, piece; -1: spelled)
         for i in range(n):
             w = weight[i]
-            if w == float("inf"):
-                continue
-            node, j, last = self.trie, i, came[i][1]
-            one = False
-            while j < n:
-                node = node.get(s[j])
-                if node is None:
-                    break
-                j += 1
-                k = node.get("")
-                if k is not None:
-                    one = one or j == i + 1
-                    if not bpe:
-                        v = w - self.scores[k]
-                    else:
-                        v = w if last < 0 or self.border(last, k) else w + 1.0
-                    if v < weight[j]:
-                        weight[j], came[j] = v, (i, k)
-            if not one:
-                v = w - low
-                if v < weight[i + 1]:
-                    weight[i + 1], came[i + 1] = v, (i, -1)
+            for j, k in self.arcs(s, i):
+                v = w - (self.scores[k] if k >= 0 else self.low)
+                if v < weight[j]:
+                    weight[j], came[j] = v, (i, k)
         ids: list[int] = []
         j = n
         while j:
@@ -291,6 +342,9 @@ class Transducer:
         return ids
 
     def normal(self, text: str) -> str:
+        """The normaliser's output."""
+        if self.rules:
+            text = self.rules.rewrite(text, self.user)
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -299,15 +353,26 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
+    def stretches(self, text: str) -> Iterator[str]:
+        """Parts that no piece joins; BPE never merges a user-defined piece."""
+        if self.model_type != BPE or not self.user:
+            yield from self.stretch.findall(text)
+            return
+        for i, part in enumerate(self.user.split(text)):
+            if i % 2:
+                yield part
+            else:
+                yield from self.stretch.findall(part)
+
     def encode(self, text: str) -> bytes:
         """int32 ids."""
         memory, out = self.memory, []
-        for s in self.stretch.findall(self.normal(text)):
+        for s in self.stretches(self.normal(text)):
             ids = memory.get(s)
             if ids is None:
                 if len(memory) >= MEMORY:
                     memory.clear()
-                ids = array("i", self.path(s)).tobytes()
+                ids = array("i", [self.user_id[s]] if s in self.user_id else self.path(s)).tobytes()
                 if len(s) <= 64:
                     memory[s] = ids
             out.append(ids)
