@@ -143,3 +143,213 @@ def make_regression(spark: SparkSession, n: int, coefficients: list[float], nois
     d = spark.range(n).select("id", *(F.randn(seed + i).alias(f"x{i}") for i in range(len(coefficients))))
     y = sum((c * F.col(f"x{i}") for i, c in enumerate(coefficients)), F.lit(0.0))
     return d.withColumn("y", y + noise * F.randn(seed + 1000))
+
+
+# more formats
+
+
+def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
+    """(label, indices, values) of lines ``label i:v i:v ...`` with indices as in the file; ``#`` starts a comment, blank lines are skipped, a malformed pair is an error."""
+    t = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", "#.*$", "")), r"\s+").alias("p")).where(F.get("p", F.lit(0)) != "")
+    pairs = F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.split(x, ":"))
+    return t.select(F.get("p", F.lit(0)).cast("double").alias("label"), F.transform(pairs, lambda x: F.get(x, F.lit(0)).cast("int")).alias("indices"), F.transform(pairs, lambda x: F.get(x, F.lit(1)).cast("double")).alias("values"))
+
+
+def map_chunks(df: DataFrame, size: int, f, schema: str) -> DataFrame:
+    """f(pandas chunk) -> pandas over chunks of exactly ``size`` rows (the last of a partition may be shorter); a worker holds one chunk."""
+    if size < 1:
+        raise ValueError("a chunk has a row at least")
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        n = 0
+        for b in batches:
+            while len(b):
+                part, b = b.iloc[: size - n], b.iloc[size - n :]
+                held.append(part)
+                n += len(part)
+                if n == size:
+                    yield f(pd.concat(held, ignore_index=True))
+                    held, n = [], 0
+        if n:
+            yield f(pd.concat(held, ignore_index=True))
+
+    return df.mapInPandas(run, schema)
+
+
+def read_csv_chunks(spark: SparkSession, path: str, schema: str, size: int, f, out_schema: str, **options) -> DataFrame:
+    """f over chunks of the rows of CSV files; see :func:`map_chunks`."""
+    return map_chunks(read_csv(spark, path, schema, **options), size, f, out_schema)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines numbered from 0 inside each file, by one sort a file range."""
+    from pyspark.sql import Window
+
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
+    per = t.groupBy("file", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
+    start = per.withColumn("_s", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a block
+    return t.join(start, ["file", "_b"]).select("file", (F.col("_s") + F.col("_i") - F.col("_least")).alias("line"), "value")
+
+
+def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
+    """Fields of structs at any depth as columns of their own; arrays and maps stay."""
+
+    def leaves(kind, path: list[str]):
+        for f in kind.fields:
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, [*path, f.name])
+            else:
+                yield [*path, f.name]
+
+    return df.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(df.schema, [])))
+
+
+def read_nested_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON lines with nested objects flattened."""
+    return flatten((spark.read.schema(schema) if schema else spark.read).json(path))
+
+
+def read_sql(spark: SparkSession, url: str, table: str, column: str | None = None, lower=None, upper=None, parts: int = 1, **options) -> DataFrame:
+    """A table or ``(query) alias`` by JDBC; with a column and its bounds, read in parts."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if column is not None:
+        r = r.option("partitionColumn", column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", parts)
+    return r.load()
+
+
+def _binary(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """parse(content) -> pandas of each file; a file is one piece of work."""
+
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                yield parse(bytes(content))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def read_sparse_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, v) of CSR, CSC or COO matrices saved as .npz."""
+
+    def parse(content: bytes) -> pd.DataFrame:
+        import io
+
+        z = np.load(io.BytesIO(content), allow_pickle=False)
+        kind = z["format"].item()
+        kind = kind.decode() if isinstance(kind, bytes) else str(kind)
+        if kind == "coo":
+            i, j = z["row"], z["col"]
+        elif kind in ("csr", "csc"):
+            major = np.repeat(np.arange(len(z["indptr"]) - 1), np.diff(z["indptr"]))
+            i, j = (major, z["indices"]) if kind == "csr" else (z["indices"], major)
+        else:
+            raise ValueError(f"format {kind}")
+        return pd.DataFrame({"i": i.astype(np.int64), "j": j.astype(np.int64), "v": z["data"].astype(float)})
+
+    return _binary(spark, path, parse, "i long, j long, v double")
+
+
+def sparse_npz_bytes(i: np.ndarray, j: np.ndarray, v: np.ndarray, shape: tuple[int, int]) -> bytes:
+    """One matrix as an .npz file in COO format."""
+    import io
+
+    out = io.BytesIO()
+    np.savez_compressed(out, format=np.array("coo"), row=i, col=j, data=v, shape=np.array(shape))
+    return out.getvalue()
+
+
+def mat4_bytes(arrays: dict[str, np.ndarray]) -> bytes:
+    """Real matrices as a level 4 MAT file (column-major doubles)."""
+    out = b""
+    for name, a in arrays.items():
+        a = np.atleast_2d(np.asarray(a, float))
+        out += struct.pack("<5i", 0, a.shape[0], a.shape[1], 0, len(name) + 1) + name.encode() + b"\0" + a.astype("<f8").tobytes(order="F")
+    return out
+
+
+def read_mat4(spark: SparkSession, path: str) -> DataFrame:
+    """(name, i, j, v) of the real double matrices of level 4 MAT files."""
+
+    def parse(content: bytes) -> pd.DataFrame:
+        at, parts = 0, []
+        while at < len(content):
+            kind, rows, cols, imag, n = struct.unpack_from("<5i", content, at)
+            if kind or imag:
+                raise ValueError("only real little-endian double matrices")
+            name = content[at + 20 : at + 20 + n - 1].decode()
+            at += 20 + n
+            a = np.frombuffer(content, "<f8", rows * cols, at).reshape((rows, cols), order="F")
+            at += 8 * rows * cols
+            i, j = np.indices(a.shape)
+            parts.append(pd.DataFrame({"name": name, "i": i.ravel().astype(np.int64), "j": j.ravel().astype(np.int64), "v": a.ravel()}))
+        return pd.concat(parts) if parts else pd.DataFrame({"name": [], "i": [], "j": [], "v": []})
+
+    return _binary(spark, path, parse, "name string, i long, j long, v double")
+
+
+def read_safetensors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, dtype, shape, values) of the tensors of a file: header length, JSON header, raw little-endian data."""
+    kinds = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "u1"}
+
+    def parse(content: bytes) -> pd.DataFrame:
+        import json
+
+        (n,) = struct.unpack_from("<Q", content)
+        head = json.loads(content[8 : 8 + n])
+        rows = []
+        for name, t in head.items():
+            if name == "__metadata__":
+                continue
+            lo, hi = t["data_offsets"]
+            data = np.frombuffer(content[8 + n + lo : 8 + n + hi], kinds[t["dtype"]]).astype(float)
+            rows.append((name, t["dtype"], [int(x) for x in t["shape"]], data.tolist()))
+        return pd.DataFrame(rows, columns=["name", "dtype", "shape", "values"])
+
+    return _binary(spark, path, parse, "name string, dtype string, shape array<long>, `values` array<double>")
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of lines ``src dst dst ...``; blank and ``#`` lines are skipped."""
+    t = spark.read.text(path).select(F.split(F.trim("value"), r"[\s,:]+").alias("p")).where("p[0] <> '' AND NOT startswith(p[0], '#')")
+    return t.select(F.get("p", F.lit(0)).alias("src"), F.explode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))).alias("dst"))
+
+
+def read_dot(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, weight, directed) of the edges ``a -> b [weight=w]`` or ``a -- b`` of DOT files, one a line; weight is null without one."""
+    t = spark.read.text(path)
+    name = r'("[^"]*"|[\w.]+)'
+    pattern = rf"^\s*{name}\s*(->|--)\s*{name}"
+    bare = lambda i: F.regexp_replace(F.regexp_extract("value", pattern, i), '^"|"$', "")
+    w = F.expr(r"try_cast(nullif(regexp_extract(value, 'weight\\s*=\\s*\"?([-0-9.eE]+)', 1), '') AS double)")
+    return t.where(F.col("value").rlike(pattern)).select(bare(1).alias("src"), bare(3).alias("dst"), w.alias("weight"), (F.regexp_extract("value", pattern, 2) == "->").alias("directed"))
+
+
+def read_gml(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, weight) of the edges of GML files; a file is one value, as edges span lines."""
+    t = spark.read.text(path, wholetext=True)
+    e = t.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\bedge\s*\[(.*?)\]"), F.lit(1))).alias("e"))
+    of = lambda k: F.expr(f"nullif(regexp_extract(e, '\\\\b{k}\\\\s+\"?([^\"\\\\s]+)', 1), '')")
+    return e.select(of("source").alias("src"), of("target").alias("dst"), F.coalesce(of("weight"), of("value")).try_cast("double").alias("weight"))
+
+
+def read_graphml(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of the edges of GraphML files; a file is one value."""
+    t = spark.read.text(path, wholetext=True)
+    e = t.select(F.explode(F.regexp_extract_all("value", F.lit(r"<edge\b[^>]*>"), F.lit(0))).alias("e"))
+    of = lambda k: F.regexp_extract("e", rf"\b{k}\s*=\s*[\"']([^\"']*)", 1)
+    return e.select(of("source").alias("src"), of("target").alias("dst"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of all files below a folder."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return b.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """(file, problem) of files that are missing, new or changed against a manifest."""
+    now = manifest(spark, path).select("file", F.col("sha256").alias("_now"))
+    j = expected.select("file", F.col("sha256").alias("_then")).join(now, "file", "full")
+    problem = F.when(F.col("_now").isNull(), "missing").when(F.col("_then").isNull(), "new").when(F.col("_now") != F.col("_then"), "changed")
+    return j.select("file", problem.alias("problem")).where("problem IS NOT NULL")
