@@ -7,6 +7,7 @@ process (``local[...]``, as in tests); on a cluster that is an error.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -112,6 +113,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: freed memory goes back when it likes
+    _trim = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts hold about ``limit`` bytes: (slice, bytes, offsets)."""
     if not batch.num_rows:
@@ -122,7 +136,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def longs(batch: pa.RecordBatch, column: str) -> np.ndarray:

@@ -49,7 +49,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Stretches, and pairs of pieces, that a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 def default_model() -> str:

@@ -32,7 +32,7 @@ from quarry.llm import base, kernels
 
 WINDOW = 20
 #: Words that a task gathers before it sends them.
-PACKET_WORDS = 1 << 20
+PACKET_WORDS = 1 << 19
 #: Bytes of text for each hash range, at most (there are more ranges where that is less than a partition's share).
 RANGE_BYTES = 16 << 20
 

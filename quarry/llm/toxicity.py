@@ -199,26 +199,26 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 120,
     worded = np.diff(first) > 0
     if not (worded & (y == 1)).any() or not (worded & (y == 0)).any():
         return None
-    owner = np.repeat(np.arange(len(y)), np.diff(first))
+    gram = gram.astype(np.int32)
     size = np.diff(np.r_[starts, len(data)])
 
-    def weights(units: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log odds, texts with it) of each unit, by presence in a text."""
-        pair = np.unique(units.astype(np.int64) * len(y) + text)
-        has = [np.bincount(pair // len(y), y[pair % len(y)] == k, n) for k in (0, 1)]
+    def weights(units: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(log odds, texts with it) of each unit, by presence in a text; text by text, which needs little memory."""
+        has = np.zeros((2, n))
+        for d, k in enumerate(toxic):
+            has[k, np.unique(units[bounds[d] : bounds[d + 1]])] += 1
         total = [(y == k).sum() for k in (0, 1)]
         return np.log((has[1] + 0.3) / (total[1] + 0.6)) - np.log((has[0] + 0.3) / (total[0] + 0.6)), has[0] + has[1]
 
     kinds, code = np.unique(word, return_inverse=True)
-    odds, seen = weights(code, owner, len(kinds))
+    odds, seen = weights(code, first, len(kinds))
     worth = np.where(seen >= 3, np.abs(odds) * np.sqrt(seen), 0)
     vocabulary = kinds[np.lexsort((kinds, -worth))][:VOCABULARY]
     net = Network(vocabulary, seed)
     rows = net.rows(word)
     of = dict(zip(kinds.tolist(), np.clip(odds, -2, 6)))
     net.w["word"][1:, 0] = [0.5 * of[v] for v in vocabulary.tolist()]
-    byte_text = np.repeat(np.arange(len(y)), np.diff(off))
-    g_odds, g_seen = weights(gram, byte_text, _GRAM)
+    g_odds, g_seen = weights(gram, off, _GRAM)
     net.w["char"][1:, 0] = (0.3 * np.clip(g_odds, -1, 6) * (g_seen >= 3))[1:]
     # the first choice of windows: naive Bayes over words and trigrams
     strong = np.maximum(np.where(seen[code] >= 3, odds[code], 0), np.add.reduceat(np.where(g_seen[gram] >= 5, np.clip(g_odds[gram], 0, 6), 0) * (gram > 0), starts) / 3 if len(starts) else 0)
@@ -276,7 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, max_texts: int = M
         ids = some if ids is None else ids.unionByName(some)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").collect()  # at most 2 * max_texts ids
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    net = train([r.text for r in rows], [r.toxic for r in rows])
+    del rows
+    base.trim()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
