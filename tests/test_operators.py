@@ -165,12 +165,29 @@ def test_graph_rounds_go_to_the_end(spark):
 
 
 def test_whole_graph_has_every_supplier_and_part(spark, tmp_path):
-    from quarry.plans import registry
+    from quarry.plans import models, registry
 
     rows = [(o, o % 7, o % 130) for o in range(1, 400)]
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     ids = {2 * s for _, s, _ in rows} | {2 * p + 1 for _, _, p in rows}
-    labels = registry.QUERIES["graph_label_propagation"](spark, str(tmp_path)).collect()
-    assert {r.id for r in labels} == ids
     assert {r.id for r in registry.QUERIES["graph_core_numbers"](spark, str(tmp_path)).collect()} == ids
-    assert registry.QUERIES["graph_spanning_forest"](spark, str(tmp_path)).count() == len(ids) - 1  # one component
+    edges = models._all_edges(spark, str(tmp_path))
+    assert {r.id for r in graph.label_propagation(edges, 2).collect()} == ids
+    assert graph.spanning_forest(edges.withColumn("weight", F.lit(1.0) + (F.col("src") * 7 + F.col("dst")) % 5)).count() == len(ids) - 1  # one component
+
+
+def test_centralities_of_small_graphs(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 5), (5, 4)], "src int, dst int")
+    everyone = graph.vertices(e)
+    b = {r.id: r.betweenness for r in graph.betweenness(e, everyone).collect()}
+    assert b == {1: 0.0, 2: 3.0, 3: 1.0, 4: 0.0, 5: 1.0}  # directed paths through each vertex
+    d = graph.diameter_radius(e).first()
+    assert (d.diameter, d.radius) == (3, 2)
+    c = {r.id: r.closeness for r in graph.closeness(e, everyone).collect()}
+    assert c[4] == 0 and c[1] == pytest.approx(4 / 8 * 4 / 4)
+    two = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4)], "src int, dst int")
+    assert dict(graph.strong_components(two).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    k4 = spark.createDataFrame([(i, j) for i in range(4) for j in range(i)], "src int, dst int")
+    assert {round(r.score, 6) for r in graph.eigenvector(k4, 5).collect()} == {0.5}
+    core = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"), ("D", "B"), ("E", "D")], "src string, dst string")
+    assert dict(graph.core_numbers(core).collect()) == {"A": 2, "B": 2, "C": 2, "D": 2, "E": 1}
