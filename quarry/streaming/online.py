@@ -54,7 +54,10 @@ def eddm(s: dict, wrong: bool) -> str:
     s["t"] = s.get("t", 0) + 1
     if not wrong:
         return "none"
-    d = s["t"] - s.get("last", 0)
+    if "last" not in s:
+        s["last"] = s["t"]
+        return "none"
+    d = s["t"] - s["last"]
     s["last"], s["n"] = s["t"], s.get("n", 0) + 1
     old = s.get("mean", 0.0)
     s["mean"] = old + (d - old) / s["n"]
