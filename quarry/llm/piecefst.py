@@ -22,7 +22,7 @@ shortest path in the tropical semiring (min, +) is its encoding:
 
 No piece reaches across a border before white space or around a character
 that no longer piece has, so a text falls into short stretches, whose
-encodings a worker remembers (a bounded memory, cleared when full). Equal
+encodings a worker remembers (a bounded memory of two generations). Equal
 weights go to the path whose pieces start first. Rows that share an id are
 encoded one by one; a very long text is one piece of work.
 
@@ -48,8 +48,8 @@ from quarry.llm import base
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Stretches, and pairs of pieces, that a worker remembers.
-MEMORY = 200_000
+#: Stretches of each of two generations, fragments, and pairs of pieces that a worker remembers.
+MEMORY = 150_000
 
 
 def default_model() -> str:
@@ -196,6 +196,7 @@ class Transducer:
         # neighbouring characters that some piece holds: BPE never merges across others
         self.joins = {pair for p in live for pair in zip(p, p[1:])}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fragments: dict[str, list[int]] = {}
         self.borders: dict[int, bool] = {}
 
@@ -313,7 +314,7 @@ class Transducer:
                 if got is None:
                     got = self.by_levels(part)
                     if len(part) <= 64:
-                        if len(self.fragments) >= MEMORY // 2:
+                        if len(self.fragments) >= MEMORY:
                             self.fragments.clear()
                         self.fragments[part] = got
                 ids += got
@@ -370,9 +371,12 @@ class Transducer:
         for s in self.stretches(self.normal(text)):
             ids = memory.get(s)
             if ids is None:
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                ids = array("i", [self.user_id[s]] if s in self.user_id else self.path(s)).tobytes()
+                ids = self.older.get(s)
+                if ids is None:
+                    ids = array("i", [self.user_id[s]] if s in self.user_id else self.path(s)).tobytes()
+                if len(memory) >= MEMORY:  # what is not met again in the time of one generation goes
+                    self.older, self.memory = memory, {}
+                    memory = self.memory
                 if len(s) <= 64:
                     memory[s] = ids
             out.append(ids)
