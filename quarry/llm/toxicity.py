@@ -12,8 +12,8 @@ training behind a mask. Everything is trained in numpy.
 Only texts are labelled, so training looks for the windows that carry the
 label: it starts from naive Bayes weights and, each round, takes the
 best-scoring window of each toxic text against the best-scoring and random
-windows of the others. It sees at most ``MAX_TEXTS`` texts of each label, by
-hash of the id.
+windows of the others. It sees at most ``MAX_TEXTS`` toxic texts and
+``MAX_CLEAN`` others, by hash of the id.
 
 A text without words (null, empty) scores 0; so does every text if the
 training texts with words do not hold both labels. Rows that share an id are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quarry.llm import base, kernels
 
 WINDOW, STRIDE = 32, 16
-MAX_TEXTS = 400
+MAX_TEXTS, MAX_CLEAN = 400, 1200
 VOCABULARY = 2048
 D_WORD, D_CHAR, HIDDEN = 6, 6, 8
 _GRAM, _SLOTS = 1 << 15, 1 << 16
@@ -194,13 +194,21 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 120,
         return None
     r = np.random.Generator(np.random.PCG64(seed))
     raw = [t.encode("utf-8", "replace") for t in texts]
-    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-    word, gram, starts, first = tokens(data, off)
+    off = np.cumsum([0, *map(len, raw)])
+    parts, n_bytes, n_words = [], 0, 0
+    for i in range(0, len(raw), 64):  # a few texts at a time bound the driver's memory
+        some = raw[i : i + 64]
+        w, g, at, f = tokens(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        parts.append((w, g.astype(np.int32), at + n_bytes, f[:-1] + n_words))
+        n_bytes, n_words = n_bytes + sum(map(len, some)), n_words + len(w)
+    del raw
+    word, gram, starts, first = (np.concatenate(x) for x in zip(*parts))
+    first = np.r_[first, n_words]
+    del parts
     worded = np.diff(first) > 0
     if not (worded & (y == 1)).any() or not (worded & (y == 0)).any():
         return None
-    gram = gram.astype(np.int32)
-    size = np.diff(np.r_[starts, len(data)])
+    size = np.diff(np.r_[starts, n_bytes])
 
     def weights(units: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(log odds, texts with it) of each unit, by presence in a text; text by text, which needs little memory."""
@@ -221,7 +229,9 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 120,
     g_odds, g_seen = weights(gram, off, _GRAM)
     net.w["char"][1:, 0] = (0.3 * np.clip(g_odds, -1, 6) * (g_seen >= 3))[1:]
     # the first choice of windows: naive Bayes over words and trigrams
-    strong = np.maximum(np.where(seen[code] >= 3, odds[code], 0), np.add.reduceat(np.where(g_seen[gram] >= 5, np.clip(g_odds[gram], 0, 6), 0) * (gram > 0), starts) / 3 if len(starts) else 0)
+    hint = np.where(g_seen >= 5, np.clip(g_odds, 0, 6), 0).astype(np.float32)
+    hint[0] = 0
+    strong = np.maximum(np.where(seen[code] >= 3, odds[code], 0), np.add.reduceat(hint[gram], starts) / 3)
     text, at, length = windows(first)
     value = np.array([strong[a : a + n].max() for a, n in zip(at, length)])
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
@@ -267,14 +277,14 @@ def score_texts(net: Network | None, data: np.ndarray, off: np.ndarray) -> np.nd
     return np.clip(out, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column, max_texts: int = MAX_TEXTS) -> Network | None:
-    """A network from at most ``max_texts`` eligible rows of each label; labels(doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column, max_texts: int = MAX_TEXTS, max_clean: int = MAX_CLEAN) -> Network | None:
+    """A network from at most ``max_texts`` toxic and ``max_clean`` other eligible ids; labels(doc_id, toxic)."""
     known = labels.where(eligible & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
-    for k in (0, 1):
-        some = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts)
+    for k, most in ((0, max_clean), (1, max_texts)):
+        some = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = some if ids is None else ids.unionByName(some)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").collect()  # at most 2 * max_texts ids
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").collect()  # at most max_texts + max_clean ids
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     net = train([r.text for r in rows], [r.toxic for r in rows])
     del rows
