@@ -102,11 +102,14 @@ def convolve(df: DataFrame, by: list[str], order: str, x: str, kernel: list[floa
 
 def features(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """Mean, variance (n), extremes, quartiles, rms, energy and power of each series."""
+    from quarry.operators import state
+
     c = F.col(x)
-    return df.groupBy(*by).agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.lit(0.25)).alias("q25"), F.median(c).alias("median"), F.percentile(c, F.lit(0.75)).alias("q75"),
+    g = df.groupBy(*by).agg(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.min(c).alias("min"), F.max(c).alias("max"),
         F.sqrt(F.avg(c * c)).alias("rms"), F.sum(c * c).alias("energy"), F.avg(c * c).alias("power"), (F.max(c) - F.min(c)).alias("peak_to_peak"),
     )
+    return state.attach(g, state.quantiles(df, x, [0.25, 0.5, 0.75], by).withColumnsRenamed({"q0": "q25", "q1": "median", "q2": "q75"}), by)
 
 
 def trapezoid(df: DataFrame, by: list[str], t: str, x: str) -> DataFrame:

@@ -225,8 +225,7 @@ def tukey_pairs(df: DataFrame, x: str, group: str) -> DataFrame:
 
 def levene(df: DataFrame, x: str, group: str, center: str = "mean") -> DataFrame:
     """Levene's statistic: the analysis of variance of |x - centre|; ``median`` gives Brown-Forsythe."""
-    mid = F.median(x) if center == "median" else F.avg(x)
-    c = df.groupBy(group).agg(mid.alias("_c"))
+    c = state.quantiles(df, x, [0.5], [group]).withColumnRenamed("q0", "_c") if center == "median" else df.groupBy(group).agg(F.avg(x).alias("_c"))
     return anova(df.join(c, group).withColumn("_d", F.abs(F.col(x) - F.col("_c"))), "_d", group).select(F.col("f").alias("w"), "df_between", "df_within")
 
 
