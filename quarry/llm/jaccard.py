@@ -371,7 +371,8 @@ class JaccardJoin:
         """(links of nodes and hubs, pairs (a, b, na, nb) past the filters on their differences from a hub) of crowded lists."""
         ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("k"))
         hubs = ends.join(labels, "node").groupBy(F.col("component").alias("main")).agg(F.max_by("node", F.struct("k", "node")).alias("hub"))
-        stars = crowded.join(hubs, "main", "left").select(F.coalesce("hub", "main").alias("a"), F.col("node").alias("b"), "root").distinct()
+        hubs = base.materialize(hubs.join(crowded.select("main").distinct(), "main"))  # a row a family that crowds some list
+        stars = crowded.join(base.small(hubs, 32 * hubs.count()), "main", "left").select(F.coalesce("hub", "main").alias("a"), F.col("node").alias("b"), "root").distinct()
         stars = base.materialize(stars.where("a <> b"))
         grams = self._grams(stars)
         ga, gb = (grams.select(F.col("node").alias(n), F.col("grams").alias(f"g{n}")) for n in "ab")
@@ -383,7 +384,7 @@ class JaccardJoin:
         need = F.col("sa") + F.col("sb") - (F.col("na") + F.col("nb")) * F.lit(100 - self.percent) / F.lit(100 + self.percent)
         met = u.join(v, ["z", "x"]).where("ra <> rb AND a < b AND NOT (la AND lb)").where(2 * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= need - F.lit(1e-6))
         pairs = base.materialize(met.select("a", "b", "na", "nb").distinct())
-        for x in (stars, grams, apart):
+        for x in (hubs, stars, grams, apart):
             base.release(x)
         return found, pairs
 
