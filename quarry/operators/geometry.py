@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,31 @@ def polygon_measures(sides: DataFrame, polygon: str) -> DataFrame:
 def contains(points: DataFrame, sides: DataFrame, polygon: str, cell: float) -> DataFrame:
     """points(id, polygon, x, y) with ``inside``, by the parity of sides crossed to the right; each point against its own polygon.
 
-    Points meet the sides that cross their row of cells of height ``cell`` only.
+    Points meet the sides that cross their row of cells of height ``cell`` only. There the crossings of each height are
+    computed and sorted once, and its points are found among them by bisection.
     """
-    s = sides.where("y1 <> y2").withColumn("_c", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    s = sides.where("y1 <> y2").select(polygon, "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))).alias("_c")).where(F.col(polygon).isNotNull())
     p = points.withColumn("_c", F.floor(F.col("y") / cell))
-    hit = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    crossed = p.join(s, [polygon, "_c"]).where(hit).groupBy("id", polygon).agg(F.count("*").alias("_k"))
-    return points.join(crossed, ["id", polygon], "left").withColumn("inside", F.coalesce(F.col("_k") % 2 == 1, F.lit(False))).drop("_k")
+
+    def number(t: pa.Table, c: str) -> np.ndarray:
+        return t.column(c).cast(pa.float64()).to_numpy().astype("float64")  # null: nan
+
+    def part(p: pa.Table, s: pa.Table) -> pa.Table:
+        inside = np.zeros(len(p), bool)
+        if len(p) and len(s):
+            x, y = number(p, "x"), number(p, "y")
+            x1, y1, x2, y2 = (number(s, c) for c in ("x1", "y1", "x2", "y2"))
+            order = np.argsort(y, kind="stable")
+            order = order[~np.isnan(y[order])]
+            for at in np.split(order, np.flatnonzero(np.diff(y[order])) + 1) if len(order) else ():
+                v = y[at[0]]
+                on = (y1 > v) != (y2 > v)
+                cross = np.sort((x2[on] - x1[on]) * (v - y1[on]) / (y2[on] - y1[on]) + x1[on])
+                inside[at] = (len(cross) - np.searchsorted(cross, x[at], side="right")) % 2 == 1
+        return p.drop_columns(["_c"]).append_column("inside", pa.array(inside))
+
+    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in points.schema.fields)
+    return p.groupBy(polygon, "_c").cogroup(s.groupBy(polygon, "_c")).applyInArrow(part, f"{kinds}, inside boolean")
 
 
 def idw(known: DataFrame, asked: DataFrame, radius: float, power: float = 2.0) -> DataFrame:

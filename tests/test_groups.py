@@ -48,3 +48,17 @@ def test_line_degrees_of_a_star(spark):
     n = 200_000  # 2 x 10^10 pairs
     star = spark.range(n).select("id", F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
     assert graph.line_degrees(star).agg(F.sum("later")).first()[0] == n * (n - 1) // 2
+
+
+def test_contains_many_sides(spark):
+    n = 40_000  # a comb: all its sides cross all heights, 1.6 x 10^9 pairs of a point and a side
+    v = spark.range(n).select(F.lit("c").alias("b"), "id", F.col("id").cast("double").alias("x"), (F.col("id") % 2 * 10).cast("double").alias("y"))
+    p = spark.range(n).select("id", F.lit("c").alias("b"), (F.col("id") + 0.25).alias("x"), (F.col("id") % 9 + 0.5).alias("y"))
+    p = p.unionByName(spark.createDataFrame([(-1, "c", None, 1.0), (-2, "c", 1.0, None), (-3, "d", 1.0, 1.0)], "id long, b string, x double, y double"))
+    got = {r.id: r.inside for r in geometry.contains(p, geometry.edges(v, "b", "id", "x", "y"), "b", 5.0).collect()}
+    assert len(got) == n + 3 and not any(got[i] for i in (-1, -2, -3))
+    for i in range(0, n - 2, 97):
+        y = i % 9 + 0.5
+        cut = i + (y / 10 if i % 2 == 0 else 1 - y / 10)  # side i crosses the height here; later ones to the right; the last side closes from x = n - 1, y = 10
+        k = (cut > i + 0.25) + (n - 2 - i) + ((0 - (n - 1)) * (y - 10) / (0 - 10) + (n - 1) > i + 0.25)
+        assert got[i] == (k % 2 == 1), i
