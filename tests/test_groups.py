@@ -198,3 +198,17 @@ def test_closeness_is_of_all_vertices(spark, tmp_path):
     es = _acts(spark, tmp_path, [r.choice([r.randint(0, 200), r.randint(0, 5)]) for _ in range(400)] + list(range(300, 307)))
     got = {x[0]: x[1] for x in registry.QUERIES["graph_closeness"](spark, str(tmp_path)).collect()}
     assert len(got) > 128 and got == {v: pytest.approx(x, abs=1e-8) for v, x in _plain_centralities(es)[0].items()}
+
+
+def test_label_distances_far_from_the_origin(spark):
+    v = [[1e6 + (i * k % 7) / 1024 for k in range(1, 5)] for i in range(40)]  # inner products lose such differences
+    rows = [(i, i % 3, x) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (None, 0, v[0]), (40, 7, [math.inf] * 4), (41, 8, [math.inf] * 4)], "id long, l int, v array<double>")
+    want = {}
+    for (i, a, x), (j, b, y) in combinations(rows, 2):
+        want.setdefault((min(a, b), max(a, b)), []).append(math.dist(x, y))
+    got = {(x.a, x.b): x for x in flow.label_distances(df, "id", "l", "v", 3).collect()}
+    assert {k for k in got if max(k) < 7} == set(want)
+    for k, d in want.items():
+        assert (got[k].n, got[k].nearest, got[k].mean, got[k].farthest) == (len(d), pytest.approx(min(d), rel=1e-12), pytest.approx(sum(d) / len(d), rel=1e-12), pytest.approx(max(d), rel=1e-12))
+    assert got[0, 7].nearest == got[0, 7].mean == math.inf and math.isnan(got[7, 8].nearest) and math.isnan(got[7, 8].farthest)
